@@ -14,9 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 
-#: Rows in an Arrow batch handed to Python; whole texts may be long, so batches stay small.
-BATCH_ROWS = 2000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,85 +30,74 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CUT, Memo
+from .bpe import byte_alphabet
 from .common import local_path, write_bytes
+from .pieces import PieceCoder
 
 KEYS = np.dtype([("key", "<i8"), ("valid", "u1")])
 
 
-#: Pieces that may be encoded in one string with line breaks and a zero character between them: they begin
-#: and end with a character that is surely no white space (after a blank perhaps) and hold no zero character.
-JOINABLE = re.compile(r" ?[!-~¡-ɏ](?:[^\x00]*[!-~¡-ɏ])?")
-BETWEEN = "\n\x00\n"
+#: Pieces that may be encoded in one string: they begin with a blank and a character that is surely no white space,
+#: and end with such a character.
+JOINABLE = re.compile(r" (?:[!-~¡-ɏ]|[!-~¡-ɏ].*[!-~¡-ɏ])", re.DOTALL)
+MEMO_ENTRIES = 900_000
+BATCH_ROWS = 4000
 
 
 class LibraryEncoder:
-    """The tokenizers library over whole texts.
+    """The tokenizers library over whole texts, by distinct pieces (``pieces.py``)."""
 
-    A text is cut where a token must start in any context (``CUT``); each distinct piece goes through the
-    library once while it is remembered, and the ids of the pieces in a row are the ids of the text.
-    """
-
-    def __init__(self, path: str, specials_as_text: bool):
+    def __init__(self, path: str, specials_as_text: bool, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = specials_as_text
-        self.memo = Memo(300_000)
-        between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
-        self.zero = between[1] if len(between) == 3 and between[0] == between[2] != between[1] else None
+        alphabet = byte_alphabet()
+        specials = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.widths[i] = len(token.encode()) if token in specials or not set(token) <= set(alphabet.values()) else len(token)
+        self.coder = PieceCoder(self.encode_new, kind, MEMO_ENTRIES)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_pieces(self, pieces: list[str], kind: str) -> dict[str, bytes]:
-        joined: list[str] = []
-        alone: list[str] = []
-        for p in pieces:
-            (joined if self.zero is not None and JOINABLE.fullmatch(p) else alone).append(p)
-        known = {p: np.asarray(ids, kind).tobytes() for p, ids in zip(alone, self.library(alone))}
-        groups = [joined[i : i + 500] for i in range(0, len(joined), 500)]
-        width = int(kind[-1])
-        for group, ids in zip(groups, self.library([BETWEEN.join(g) for g in groups])):
-            ids = np.asarray(ids, kind)
-            zeros = np.flatnonzero(ids == self.zero)
-            if len(zeros) != len(group) - 1:
-                raise ValueError("a separator was lost while encoding")
-            starts, ends = [0, *((zeros + 2) * width).tolist()], [*((zeros - 1) * width).tolist(), len(ids) * width]
-            flat = ids.tobytes()
-            known.update((p, flat[s:e]) for p, s, e in zip(group, starts, ends))
-        return known
-
-    def encode(self, texts: list[str], end_id: int, kind: str) -> list[bytes]:
-        """Ids of each text and the end id, as bytes of the given integer type."""
-        end, young, old = np.asarray([end_id], kind).tobytes(), self.memo.young, self.memo.old
-        cut = [CUT.split(t) for t in texts]
-        rows = [list(map(young.get, pieces)) for pieces in cut]
-        missing = {p for pieces, row in zip(cut, rows) if None in row for p, ids in zip(pieces, row) if ids is None}
-        known = {p: old[p] for p in missing if p in old}
-        known |= self.encode_pieces(list(missing.difference(known)), kind)
-        out = []
-        for pieces, row in zip(cut, rows):
-            if None in row:
-                row = [known[p] if ids is None else ids for p, ids in zip(pieces, row)]
-            row.append(end)
-            out.append(b"".join(row))
-        for p, ids in known.items():
-            if len(p) <= 64:
-                self.memo.put(p, ids)
-        return out
+    def encode_new(self, pieces: list[str]) -> list[bytes]:
+        """Pieces are joined to longer texts; a token's length in bytes tells where each piece's ids end."""
+        joined = [p for p in pieces if JOINABLE.fullmatch(p)]
+        width, out = int(self.kind[-1]), {}
+        for a in range(0, len(joined), 20_000):  # the library's results are larger than their ids
+            groups = [joined[b : b + 32] for b in range(a, min(len(joined), a + 20_000), 32)]
+            for group, ids in zip(groups, self.library(["".join(g) for g in groups])):
+                ids = np.asarray(ids, self.kind)
+                ends = np.cumsum([len(p.encode()) for p in group])
+                at = np.cumsum(self.widths[ids])
+                cuts = np.searchsorted(at, ends)
+                if len(at) and not np.array_equal(at[cuts], ends):
+                    raise ValueError("a token crosses a border between pieces")
+                cuts, flat = ((cuts + 1) * width).tolist(), ids.tobytes()
+                out.update(zip(group, [flat[s:e] for s, e in zip([0, *cuts], cuts)]))
+        alone = [p for p in pieces if p not in out]
+        out.update((p, np.asarray(ids, self.kind).tobytes()) for p, ids in zip(alone, self.library(alone)))
+        return [out[p] for p in pieces]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each text's ended by the end id, and their numbers."""
+        return self.coder.encode(texts, end_id)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, specials_as_text: bool) -> LibraryEncoder:
-    return LibraryEncoder(path, specials_as_text)
+def encoder(path: str, specials_as_text: bool, kind: str) -> LibraryEncoder:
+    """One per Python worker."""
+    return LibraryEncoder(path, specials_as_text, kind)
 
 
 class OutFile:
@@ -166,33 +155,30 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, *, end_id: int, key: s
 
     kind = token_type(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, files = TaskContext.get().partitionId(), {}
-        coder, at, docs, width = encoder(tokenizer, specials_as_text), 0, 0, int(kind[-1])
-        for batch in batches:
-            if not len(batch):
-                continue
-            if not files:
-                files = {x: OutFile(f"{out}/part-{part:06d}.{x}") for x in (("tokens", "offsets", "keys") if indexed else ("tokens",))}
-            coded = coder.encode(batch.text.tolist(), end_id, kind)
-            sizes = np.fromiter((len(c) // width for c in coded), "<u8", len(coded))
-            for c in coded:
-                files["tokens"].write(c)
-            if indexed:
-                files["offsets"].write((at + np.cumsum(sizes, dtype="<u8") - sizes).tobytes())
-                keys = np.zeros(len(batch), KEYS)
-                keys["valid"] = batch.key.notna()
-                keys["key"] = [0 if k is None or k != k else int(k) for k in batch.key]
-                files["keys"].write(keys.tobytes())
-            at, docs = at + int(sizes.sum()), docs + len(batch)
+        coder, at, docs = encoder(tokenizer, specials_as_text, kind), 0, 0
+        for whole in batches:
+            for batch in (whole.slice(i, BATCH_ROWS) for i in range(0, len(whole), BATCH_ROWS)):
+                if not files:
+                    files = {x: OutFile(f"{out}/part-{part:06d}.{x}") for x in (("tokens", "offsets", "keys") if indexed else ("tokens",))}
+                ids, sizes = coder.encode(batch["text"], end_id)
+                files["tokens"].write(ids.tobytes())
+                if indexed:
+                    files["offsets"].write((at + np.cumsum(sizes) - sizes).astype("<u8").tobytes())
+                    keys = np.zeros(len(batch), KEYS)
+                    keys["valid"] = batch["key"].is_valid().to_numpy(zero_copy_only=False)
+                    keys["key"] = batch["key"].fill_null(0).to_numpy()
+                    files["keys"].write(keys.tobytes())
+                at, docs = at + len(ids), docs + len(batch)
         if files:
             if indexed:
                 files["offsets"].write(np.asarray([at], "<u8").tobytes())
             for f in files.values():
                 f.commit()
-            yield pd.DataFrame({"part": [part], "docs": [docs], "tokens": [at]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs], "tokens": [at]})
 
-    parts = sorted(tuple(r) for r in rows.mapInPandas(write, "part long, docs long, tokens long").collect())  # one row a file
+    parts = sorted(tuple(r) for r in rows.mapInArrow(write, "part long, docs long, tokens long").collect())  # one row a file
     base = np.concatenate([[0], np.cumsum([p[2] for p in parts])]).astype("int64").tolist()
     manifest = {"type": kind, "end_id": end_id, "parts": [{"part": p, "docs": d, "tokens": t, "base": b} for (p, d, t), b in zip(parts, base)]}
     write_bytes(f"{out}/manifest.json", json.dumps(manifest).encode())
