@@ -14,41 +14,27 @@ import hashlib
 import heapq
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pieces import PieceCoder
 
-#: A place where a token always starts, whatever stands around it: a blank between two characters that
-#: are surely no white space.  Texts are cut there so that repeated pieces are encoded once.
-CUT = re.compile(r"(?<=[!-~¡-ɏ])(?= [!-~¡-ɏ])")
 
 #: The public pattern that splits text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-MEMO_ENTRIES = 150_000
-
-
-class Memo:
-    """At most two generations of results; the older is dropped when the younger is full."""
-
-    def __init__(self, entries: int = MEMO_ENTRIES):
-        self.entries, self.young, self.old = entries, {}, {}
-
-    def get(self, key):
-        if (found := self.young.get(key)) is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.entries:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+MEMO_ENTRIES = 700_000
+BATCH_ROWS = 4000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -80,7 +66,7 @@ class Bpe:
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.split = regex.compile(SPLIT)
         self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.words, self.pieces = Memo(), Memo()
+        self.coder = PieceCoder(lambda pieces: [self.piece(p) for p in pieces], "<u4", MEMO_ENTRIES)
 
     def merge(self, word: str) -> list[int]:
         """The ids of one pre-token."""
@@ -111,28 +97,12 @@ class Bpe:
                 out.append(self.added[part])
                 continue
             for word in self.split.findall(part):
-                ids = self.words.get(word)
-                if ids is None:
-                    ids = self.merge(word)
-                    if len(word) <= 64:
-                        self.words.put(word, ids)
-                out += ids
-        return np.asarray(out, "<u4").tobytes()
+                out += self.merge(word)
+        return array("I", out).tobytes() if LITTLE else np.asarray(out, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        got, memo, out = self.pieces.young.get, self.pieces, []
-        for piece in CUT.split(text):
-            ids = got(piece)
-            if ids is None:
-                ids = memo.get(piece)
-                if ids is None:
-                    ids = self.piece(piece)
-                    if len(piece) <= 64:
-                        memo.put(piece, ids)
-                got = memo.young.get
-            out.append(ids)
-        return b"".join(out)
+        return self.coder.encode(pa.array([text]))[0].tobytes()
 
     def decode(self, ids) -> str:
         """Vocabulary strings of ids in a row; bytes that are not UTF-8 become U+FFFD. Unknown ids vanish."""
@@ -153,13 +123,15 @@ def with_columns_safe(df: DataFrame, text: str, key: str) -> DataFrame:
 def encode_table(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): every whole text encoded. No shuffle; other columns are left behind."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
-        for at in batches:
-            yield pd.DataFrame({"doc_id": at.doc_id, "ids": [np.frombuffer(bpe.encode(t), "<i4") for t in at.text]})
+        for at in slices(batches):
+            ids, sizes = bpe.coder.encode(at["text"])
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([at["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
     rows = with_columns_safe(df, text, key)
-    return rows.mapInPandas(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode_table(df: DataFrame, tokenizer: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -174,25 +146,33 @@ def decode_table(df: DataFrame, tokenizer: str, *, key: str = "doc_id", ids: str
     return rows.mapInPandas(decode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        yield from (whole.slice(i, BATCH_ROWS) for i in range(0, len(whole), BATCH_ROWS))
+
+
 def round_trip(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids.
 
     One pass without a shuffle; ids never leave the worker, so the result stays small.
     """
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
-        for at in batches:
-            coded = [bpe.encode(t) for t in at.text]
-            yield pd.DataFrame(
-                {
-                    "doc_id": at.doc_id,
-                    "n_tokens": np.fromiter((len(c) // 4 for c in coded), "int64", len(coded)),
-                    "ids_sha256": [hashlib.sha256(c).hexdigest() for c in coded],
-                    "decoded_sha256": [hashlib.sha256(bpe.decode(np.frombuffer(c, "<u4").tolist()).encode()).hexdigest() for c in coded],
-                }
+        for at in slices(batches):
+            ids, sizes = bpe.coder.encode(at["text"])
+            ends = np.cumsum(sizes).tolist()
+            coded = [ids[a:b] for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    at["doc_id"],
+                    pa.array(sizes),
+                    pa.array([hashlib.sha256(c.tobytes()).hexdigest() for c in coded], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(c.tolist()).encode()).hexdigest() for c in coded], pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
     rows = with_columns_safe(df, text, key)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
