@@ -15,10 +15,13 @@ Links: signatures are cut into bands; documents that share a band are candidates
 only if its exact similarity is 0.8 or more.  With 36 bands of 6, a pair at 0.8 is missed with probability
 2e-5, one at 0.9 with 1e-12.
 
-No group is expanded into pairs: exact copies are one node; in each band a few leaders (1, then 4, 16 ..) are
-compared with the members that are not yet in their component; a leader that has met all others leaves the
-band; a band whose members are in one component is done.  Rounds go on until every band is done, so each
-candidate pair is either checked or already connected and none is lost.
+No group is expanded into pairs: exact copies are one node.  In the first rounds the member of a band with the most
+company is compared with the members that are not yet in its component, and then leaves the band; a band whose
+members are in one component is done.  In the last round every member outside a band's largest component is
+compared with the others.  So each candidate pair is either checked or already connected and none is lost; a pair
+is taken up in the first band that it shares only.  Before texts are fetched, four bits of every coordinate are
+compared: pairs that differ in more of them than four standard deviations over what 0.8 makes likely are out,
+which loses a pair at 0.8 with a probability of 3e-5.
 
 Nulls, and texts without words: such a document is a class of its own.  A null key takes part by its text.  The
 class id is the smallest key of the class (null, if all are null).  Repeated rows are one class.  Very long
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, written
@@ -42,7 +45,11 @@ from .components import components
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
+#: Coordinates of a signature: the first go into bands, all into the sketch.
+COORDINATES = 432
 ELEMENTS_AT_ONCE = 400_000
+#: Rounds in which a band has one leader.
+SINGLE_ROUNDS = 3
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,11 +90,11 @@ class Darts:
         for layer in range(layers):
             low, width = (0.0, 1.0) if layer == 0 else (2.0 ** (layer - 1), 2.0 ** (layer - 1))
             at = np.flatnonzero(weights > low)
-            seed, at_doc = mix(elements[at] + np.uint64(layer + 1) * _M3), doc[at]
+            seed, at_doc = mix(elements[at] + np.uint64((layer + 1) * int(_M3) % 2**64)), doc[at]
             limit, most, r, n = bound[at_doc], weights[at], np.zeros(len(at)), 0
             while len(seed):
                 n += 1
-                dart = mix(seed + np.uint64(n) * _M2)
+                dart = mix(seed + np.uint64(n * int(_M2) % 2**64))
                 r = r - np.log(unit(dart)) / (k * width)
                 keep = r <= limit
                 if not keep.all():
@@ -136,6 +143,38 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates a long."""
+    n, k = signatures.shape
+    nibbles = np.zeros((n, -(-k // 16), 16), np.uint64)
+    nibbles.reshape(n, -1)[:, :k] = mix(signatures ^ _M2) >> np.uint64(60)
+    out = np.zeros(nibbles.shape[:2], np.uint64)
+    for i in range(16):
+        out |= nibbles[:, :, i] << np.uint64(4 * i)
+    return out.view(np.int64)
+
+
+def unlike(a: Column, b: Column, longs: int) -> Column:
+    """The number of coordinates whose four bits differ."""
+    ones, total = F.lit(0x1111111111111111), None
+    for i in range(longs):
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones))
+        total = n if total is None else total + n
+    return total
+
+
+def first_shared(a: Column, b: Column, bands: int) -> Column:
+    """The first band key that two rows of keys have in common."""
+    return F.coalesce(*[F.when(a[i] == b[i], a[i]) for i in range(bands)])
+
+
+def most_unlike(k: int, similarity: float) -> int:
+    p = (1 - similarity) * 15 / 16
+    return math.ceil(k * p + 4 * math.sqrt(k * p * (1 - p)))
+
+
 def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float) -> bool:
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     shared = int(np.minimum(a[1][i], b[1][j]).sum())
@@ -153,6 +192,7 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     Columns: content string (md5 of the text), node long, class long, first_key (smallest key with that text,
     null only if all are), copies of that key and text.
     """
+    k = max(COORDINATES, bands * rows)
     weighed = (lambda s: s) if weights == "counts" else (lambda s: (s[0], np.ones(len(s[0]), np.int64)))
     rows_in = df.select(F.col(key).alias("key"), content(text).alias("content"))
     kind = rows_in.schema["key"].dataType.simpleString()
@@ -162,19 +202,19 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     nodes = written(nodes, "nodes")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        darts = Darts(bands * rows)
+        darts = Darts(k)
         for at in batches:
             sets = [weighed(shingles(t, words)) for t in at.text]
             some = [i for i, s in enumerate(sets) if len(s[0])]
-            keys = band_keys(darts.signatures([sets[i] for i in some]), bands, rows)
-            yield pd.DataFrame({"key": at.key.iloc[some].values, "content": at.content.iloc[some].values, "bands": list(keys)})
+            found = darts.signatures([sets[i] for i in some])
+            yield pd.DataFrame({"key": at.key.iloc[some].values, "content": at.content.iloc[some].values, "bands": list(band_keys(found[:, : bands * rows], bands, rows)), "sketch": list(sketches(found))})
 
     # signatures of copies are made and left: cheaper than bringing the texts together first
     texts = df.select(F.col(key).alias("key"), content(text).alias("content"), F.col(text).alias("text"))
     own = nodes.select("node", F.col("content").alias("node_content"), "first_key")
     same = lambda t: (t.content == own.node_content) & t.key.eqNullSafe(own.first_key)
-    signatures = texts.mapInPandas(sign, f"key {kind}, content string, bands array<long>")
-    signed = written(signatures.join(own, same(signatures)).select("node", "bands"), "signatures")
+    signatures = texts.mapInPandas(sign, f"key {kind}, content string, bands array<long>, sketch array<long>")
+    signed = written(signatures.join(own, same(signatures)).select("node", "bands", "sketch"), "signatures")
     exploded = signed.select("node", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
     members = written(exploded.join(shared, "band").distinct(), "members")
@@ -190,34 +230,46 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
             yield at.loc[good, ["a", "b"]]
 
     involved = members.select("node").distinct()
-    bodies, leaders = None, 1
     labels = written(involved.select("node", F.col("node").alias("class")), "labels")
+    sizes = members.groupBy("band").agg(F.count("*").alias("size"))
+    company = members.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("company"))
+    drawn = written(signed.dropDuplicates(["node"]).join(company, "node"), "sketches")
+    bodies, turn = None, 0
     while True:
         known = members.join(labels, "node")
         mixed = known.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
         members = written(known.join(mixed, "band").select("band", "node", "class"), "members")
         if members.isEmpty():
             break
-        if leaders == 1:
-            heads = members.groupBy("band").agg(F.min("node").alias("node"))
+        full = members.join(drawn, "node")
+        named = [F.col("node").alias("head"), F.col("class").alias("head_class"), F.col("sketch").alias("head_sketch"), F.col("bands").alias("head_bands")]
+        if turn < SINGLE_ROUNDS:
+            top = members.join(company, "node").groupBy("band").agg(F.max(F.struct("company", "node")).alias("top"))
+            heads = top.select("band", F.col("top.node").alias("node")).join(full, ["band", "node"]).select("band", *named)
         else:
-            nth = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-            heads = members.select("band", "node", nth.alias("nth")).where(F.col("nth") <= leaders).select("band", "node")
-        heads = heads.join(labels.withColumnRenamed("class", "head_class"), "node").select("band", F.col("node").alias("head"), "head_class")
-        pairs = members.join(heads, "band").where("node <> head and class <> head_class")
+            counts = members.groupBy("band", "class").agg(F.count("*").alias("n"))
+            largest = counts.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top")).select("band", F.col("top.class").alias("largest"))
+            heads = full.join(largest, "band").where("class <> largest").select("band", *named)
+        heads = written(heads, "heads")
+        near = unlike(F.col("sketch"), F.col("head_sketch"), -(-k // 16)) <= most_unlike(k, similarity)
+        once_only = first_shared(F.col("bands"), F.col("head_bands"), bands) == F.col("band")
+        pairs = full.join(heads, "band").where(F.expr("node <> head and class <> head_class") & once_only & near)
         pairs = written(pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
-        if bodies is None:
-            own = own.join(involved, "node", "left_semi")
-            bodies = written(texts.join(own, same(texts)).select("node", "text").dropDuplicates(["node"]), "texts")
-        lined = pairs.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        lined = lined.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        good = lined.mapInPandas(verify, "a long, b long")
-        ends = good.join(labels.select(F.col("node").alias("a"), F.col("class").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("class").alias("y")), "b")
-        merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        relabelled = labels.join(merged.select(F.col("node").alias("class"), "component"), "class", "left")
-        labels = written(relabelled.select("node", F.coalesce("component", "class").alias("class")), "labels")
+        if not pairs.isEmpty():
+            if bodies is None:
+                own = own.join(involved, "node", "left_semi")
+                bodies = written(texts.join(own, same(texts)).select("node", "text").dropDuplicates(["node"]), "texts")
+            lined = pairs.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            lined = lined.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+            good = lined.mapInPandas(verify, "a long, b long")
+            ends = good.join(labels.select(F.col("node").alias("a"), F.col("class").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("class").alias("y")), "b")
+            merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+            relabelled = labels.join(merged.select(F.col("node").alias("class"), "component"), "class", "left")
+            labels = written(relabelled.select("node", F.coalesce("component", "class").alias("class")), "labels")
+        if turn == SINGLE_ROUNDS:
+            break
         members = members.select("band", "node").join(heads.select("band", F.col("head").alias("node")), ["band", "node"], "left_anti")
-        leaders *= 4
+        turn += 1
     out = nodes.join(labels, "node", "left").select("content", "node", F.coalesce("class", "node").alias("class"), "first_key", "copies")
     return written(out, "classes")
 
