@@ -33,3 +33,13 @@ def no_nan(value: Column) -> Column:
 def vector_of(value: Column, size: int) -> Column:
     """Fails for arrays of another length."""
     return checked(value, F.size(value) == size, f"expected {size} components")
+
+
+def matrix_of(value: Column, rows: int, columns: int) -> Column:
+    """Fails for nested arrays of another shape."""
+    return checked(value, (F.size(value) == rows) & F.forall(value, lambda r: F.size(r) == columns), f"expected {rows} x {columns} components")
+
+
+def rigid(rotation: Column, translation: Column) -> tuple[Column, Column]:
+    """A 3 x 3 rotation and a vector of 3, or an error."""
+    return matrix_of(rotation, 3, 3), vector_of(translation, 3)

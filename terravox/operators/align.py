@@ -11,7 +11,7 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import positive, require
@@ -71,18 +71,17 @@ def residual2(t: Similarity) -> Column:
 def ransac(pairs: DataFrame, *, idx: str = "idx", with_scale: bool = True, max_iterations: int = 1000, inlier_threshold: float = 0.05, min_samples: int = 4, seed: int | None = None) -> tuple[Similarity, DataFrame]:
     """(transform, pairs with ``inlier``).
 
-    Samples are drawn by place in one go and fetched together; all hypotheses are counted in one pass as
-    conditional sums, so the data are read a fixed number of times.  The first of the best wins; with enough
+    The rows to sample from are those with the smallest seeded hashes, as many as all samples together hold, found
+    by a distributed top-n; samples are drawn from them on the driver.  All hypotheses are counted in a few passes as
+    joins with constants, so the data are read a fixed number of times.  The first of the best wins; with enough
     inliers it is fitted again to them, else it stays (the identity, if no hypothesis has an inlier).
     """
     positive("max_iterations", max_iterations)
-    n = pairs.count()
-    require(n >= min_samples, "there are fewer pairs than a sample needs")
     draw = np.random.default_rng(seed)
-    samples = [draw.choice(n, min_samples, replace=False) for _ in range(max_iterations)]
-    wanted = sorted({int(i) for s in samples for i in s})  # max_iterations * min_samples rows at most
-    numbered = pairs.withColumn("__at", F.row_number().over(Window.orderBy(idx)) - 1)
-    rows = {r["__at"]: [r[c] for c in (*SRC, *DST)] for r in numbered.where(F.col("__at").isin(wanted)).select("__at", *SRC, *DST).collect()}
+    by_hash = F.xxhash64(F.lit(int(draw.integers(2**31))), F.col(idx))
+    rows = [list(r) for r in pairs.orderBy(by_hash, idx).select(*SRC, *DST).limit(max_iterations * min_samples).collect()]
+    require(len(rows) >= min_samples, "there are fewer pairs than a sample needs")
+    samples = [draw.choice(len(rows), min_samples, replace=False) for _ in range(max_iterations)]
     hypotheses = [_fit([rows[int(i)] for i in s], with_scale) for s in samples]
     limit = inlier_threshold**2
     best, most = Similarity(1.0, np.eye(3), np.zeros(3)), 0

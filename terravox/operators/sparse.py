@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,3 +110,11 @@ def normalise(t: DataFrame, width: int, *, eps: float = 1e-5, running: tuple[lis
         return (F.col("f")[i] - m) / F.sqrt(v + eps)
 
     return t.join(F.broadcast(stats)).withColumn("f", F.array(*[slot(i) for i in range(width)])).select(t.columns)
+
+
+def to_numpy(t: DataFrame | None):
+    """(coordinates, features) as arrays, for tensors that fit the driver; (None, None) for no tensor."""
+    if t is None:
+        return None, None
+    rows = t.select(*COORD, "f").toPandas()
+    return rows[COORD].to_numpy("int32"), np.array(rows.f.tolist(), "float32")
