@@ -137,7 +137,8 @@ def build_trees(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", rol
             columns = ["conv_id", "ordinal", "part", "start", "end", "position", "text_start", "text_end", "role_is_loss", "shared", "formatted", "attends"]
             yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
 
-    return ordered.mapInPandas(walk, "conv_id long, ordinal long, part long, start long, end long, position long, text_start long, text_end long, role_is_loss boolean, shared boolean, formatted string, attends array<struct<start: long, end: long>>")
+    trees = ordered.mapInPandas(walk, "conv_id long, ordinal long, part long, start long, end long, position long, text_start long, text_end long, role_is_loss boolean, shared boolean, formatted string, attends array<struct<start: long, end: long>>")
+    return written(trees, "trees")  # ranges are sampled anew by each run, so places hold within one written table only
 
 
 def read_turns(trees: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import backoff, bpe, chattree, dartminhash, langid, mixing, quality, tokencount, tokenfiles, topk
-from .common import shared_dir, table, written
+from .common import shared_dir, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -43,8 +43,7 @@ def op5_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    trees = written(chattree.build_trees(rows.union(more)), "trees")
-    return chattree.digests(trees)
+    return chattree.digests(chattree.build_trees(rows.union(more)))
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
