@@ -36,7 +36,8 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.backoff_scores(table(spark, sf_dir, "documents"))
+    scored = backoff.backoff_scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", (F.round("log_score", 3) + 0.0).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
 
 
 def op5_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_table(table(spark, sf_dir, "documents"))
+    rules = quality.quality_table(table(spark, sf_dir, "documents"))
+    return rules.withColumns({c: F.round(c, 6) + 0.0 for c in ("line_coverage", "ngram_coverage")})
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +86,75 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+OP3_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a)
+SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x"""
+
+OP4_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM t),
+u AS (SELECT w, count(*) AS c FROM t GROUP BY w), uo AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY doc_id, w),
+b AS (SELECT h, w, count(*) AS c FROM g WHERE h IS NOT NULL GROUP BY h, w), bo AS (SELECT doc_id, h, w, count(*) AS c FROM g WHERE h IS NOT NULL GROUP BY doc_id, h, w),
+n AS (SELECT doc_id, len(ws) AS own, sum(len(ws)) OVER () - len(ws) AS n FROM w),
+c AS (SELECT g.doc_id, g.i, u.c - uo.c AS cw, uh.c - uoh.c AS ch, b.c - bo.c AS cb, n.n
+      FROM g JOIN n ON n.doc_id = g.doc_id JOIN u ON u.w = g.w JOIN uo ON uo.doc_id = g.doc_id AND uo.w = g.w
+      LEFT JOIN u uh ON uh.w = g.h LEFT JOIN uo uoh ON uoh.doc_id = g.doc_id AND uoh.w = g.h
+      LEFT JOIN b ON b.h = g.h AND b.w = g.w LEFT JOIN bo ON bo.doc_id = g.doc_id AND bo.h = g.h AND bo.w = g.w),
+f AS (SELECT doc_id, i, CASE WHEN cw > 0 THEN cw / n ELSE 0.4 / (n + 1) END AS one, CASE WHEN cb > 0 AND ch > 0 THEN cb / ch END AS two FROM c),
+q AS (SELECT doc_id, sum(ln(CASE WHEN i = 1 THEN one ELSE coalesce(two, 0.4 * one) END)) AS s FROM f GROUP BY doc_id)
+SELECT n.doc_id, own AS n_words, round(coalesce(s, 0), 3) + 0.0 AS log_score, round(s / own, 5) AS mean_log_score FROM n LEFT JOIN q ON q.doc_id = n.doc_id"""
+
+_TEXT = "replace(replace(replace(text, '\\', '\\\\'), '<turn', '\\lturn'), '</turn', '\\l/turn')"
+_ROLE = "replace(replace(" + _TEXT.replace("text", "role") + ", '>', '\\g'), chr(10), '\\n')"
+OP5_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<turn:>') + 1 + length('</turn>') + 1 + length({_TEXT}) + length({_ROLE})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+def _covered(n: int) -> str:
+    """Word characters in n-grams that equal an earlier one, by document."""
+    return f"""k{n} AS (SELECT doc_id, sum(length(w)) AS c FROM (SELECT DISTINCT doc_id, i + o AS i FROM (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS nth FROM (SELECT doc_id, i, array_to_string(ws[i:i + {n - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM d))), range(0, {n}) x(o)
+  WHERE nth > 1) JOIN t USING (doc_id, i) GROUP BY doc_id)"""
+
+
+def _op8_sql() -> str:
+    limits = quality.COVERAGE_LIMITS
+    share = lambda n: f"coalesce(k{n}.c, 0) / nullif(word_chars, 0)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nth FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dl AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) AS c FROM l WHERE nth > 1 GROUP BY doc_id),
+r3 AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + o AS i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d))), range(0, 3) x(o) WHERE times > 1) GROUP BY doc_id),
+{", ".join(_covered(n) for n in limits)},
+f AS (SELECT b.doc_id, n_words, word_chars, n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(r3.n, 0) AS n_repeat_words,
+  n_words < {quality.MIN_WORDS} OR 100 * coalesce(r3.n, 0) > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, coalesce(coalesce(dl.c, 0) / nullif(word_chars, 0), 0) AS lc,
+  {" AND ".join(f"coalesce({share(n)}, 0) <= {v}" for n, v in limits.items())} AS fine, coalesce(greatest({", ".join(share(n) for n in limits)}), 0) AS nc
+  FROM b LEFT JOIN dl USING (doc_id) LEFT JOIN r3 USING (doc_id) {" ".join(f"LEFT JOIN k{n} USING (doc_id)" for n in limits)})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lc <= {quality.LINE_LIMIT} AND fine AS kept,
+  round(lc, 6) + 0.0 AS line_coverage, round(nc, 6) + 0.0 AS ngram_coverage FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": OP6_SQL, "op10_source_mix": mixing.oracle()}
+    return {
+        "op3_near_duplicates": OP3_SQL,
+        "op4_backoff_scores": OP4_SQL,
+        "op5_chat_trees": OP5_SQL,
+        "op6_exact_top_k": OP6_SQL,
+        "op8_quality_rules": _op8_sql(),
+        "op10_source_mix": mixing.oracle(),
+    }
