@@ -41,7 +41,8 @@ def center_crop(image: DataFrame, shape: tuple[int, int], target: tuple[int, int
 def translate(image: DataFrame, tx: int, ty: int, shape: tuple[int, int], value: str = "v") -> DataFrame:
     """Rows move by tx and columns by ty, cut to the image's size; what comes in is 0.
 
-    No join: a pixel whose source lies outside is the shifted copy, emptied, of one that leaves.
+    The image must have all its pixels. No join: a pixel whose source lies outside is the shifted copy, emptied, of one
+    that leaves.
     """
     h, w = shape
     tx, ty = max(-h, min(h, tx)), max(-w, min(w, ty))

@@ -64,14 +64,15 @@ def _(spark, d):
     return pcd.cloud_compare(points(spark, d, "label"), "label").select(*r6("x", "y", "z"))
 
 
-@query("array_files")
+@query("array_files", "SELECT CAST(vec_id // 64 AS INTEGER) AS img, CAST(vec_id % 64 AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST(round(abs(CAST(v AS DOUBLE)) * 255) AS INTEGER) AS level FROM (SELECT vec_id, unnest(range(0, 64)) AS c, unnest(embedding) AS v FROM embeddings)")
 def _(spark, d):
-    """Small images written and read again: values as 8-bit levels."""
-    pixels = table(spark, d, "embeddings").where("vec_id < 4").select(F.col("vec_id").alias("img"), F.posexplode("embedding").alias("p", "v"))
-    pixels = pixels.select("img", F.floor(F.col("p") / 8).cast("int").alias("row"), (F.col("p") % 8).cast("int").alias("col"), F.lit(0).alias("ch"), F.abs(F.col("v")).cast("double").alias("v"))
+    """Images of 64 vectors each, written as PNG files and read again: values as 8-bit levels."""
+    pixels = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("col", "v"))
+    tiles = pixels.select(F.floor(F.col("vec_id") / 64).alias("img"), (F.col("vec_id") % 64).cast("int").alias("row"), "col", F.lit(0).alias("ch"), F.abs(F.col("v").cast("double")).alias("v"))
     folder = scratch(spark, "png")
-    arrays.write_png(pixels, folder).count()
-    return arrays.read_png(spark, folder).select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("int").alias("img"), "row", "col", *r6("v"))
+    arrays.write_png(tiles, folder).count()
+    found = arrays.read_png(spark, folder)
+    return found.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("int").alias("img"), "row", "col", F.round(F.col("v") * 255).cast("int").alias("level"))
 
 
 @query("repository_list", "SELECT 'nation.parquet' AS name, 'small' AS kind UNION ALL SELECT 'region.parquet', 'small'")
@@ -129,12 +130,12 @@ def _(spark, d):
     return gen.box_lines(gen.box_corners(box), eps=0.5).groupBy("part").agg(F.count("*").alias("points"))
 
 
-_CHAIN = f"WITH p AS (SELECT idx % 7 AS g, idx, x, y, z FROM ({P}) WHERE idx < 70), c AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM p WINDOW w AS (PARTITION BY g ORDER BY idx)), n AS (SELECT *, greatest(2, CAST(floor(sqrt((nx-x)*(nx-x)+(ny-y)*(ny-y)+(nz-z)*(nz-z)) / 0.05) AS INTEGER)) AS m FROM c WHERE nx IS NOT NULL), s AS (SELECT *, unnest(range(0, m)) AS step FROM n) "
+_CHAIN = f"WITH p AS (SELECT idx % 7 AS g, idx, x, y, z FROM ({P})), c AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM p WINDOW w AS (PARTITION BY g ORDER BY idx)), n AS (SELECT *, greatest(2, CAST(floor(sqrt((nx-x)*(nx-x)+(ny-y)*(ny-y)+(nz-z)*(nz-z)) / 0.05) AS INTEGER)) AS m FROM c WHERE nx IS NOT NULL), s AS (SELECT *, unnest(range(0, m)) AS step FROM n) "
 
 
 @query("polyline_points", _CHAIN + "SELECT idx, CAST(step AS INTEGER) AS step, round(x + (nx - x) * step / m, 6) + 0.0 AS x, round(y + (ny - y) * step / m, 6) + 0.0 AS y, round(z + (nz - z) * step / m, 6) + 0.0 AS z FROM s UNION ALL SELECT idx, 0, round(x, 6) + 0.0, round(y, 6) + 0.0, round(z, 6) + 0.0 FROM c WHERE nx IS NULL")
 def _(spark, d):
-    chain = points(spark, d).where("idx < 70").withColumn("by", F.col("idx") % 7)
+    chain = points(spark, d).withColumn("by", F.col("idx") % 7)
     return gen.polyline(chain, by="by", order="idx", eps=0.05).select("idx", "step", *r6("x", "y", "z"))
 
 

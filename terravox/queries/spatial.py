@@ -263,15 +263,22 @@ def _(spark, d):
     return images.overlay_image(image, layer, ratio=0.3, mask=mask).select("row", "col", *r6("v"))
 
 
-@query("image_crop", _IMAGE + "SELECT CAST(row - 34 AS INTEGER) AS row, CAST(col - 17 AS INTEGER) AS col, round(v, 6) + 0.0 AS v FROM i WHERE row BETWEEN 34 AND 64 AND col BETWEEN 17 AND 46")
+@query(
+    "image_crop",
+    _IMAGE
+    + """, n AS (SELECT count(*) AS h, count(*) // 2 AS t FROM embeddings)
+ SELECT CAST(row - (h // 2 - t // 2) AS INTEGER) AS row, CAST(col - 17 AS INTEGER) AS col, round(v, 6) + 0.0 AS v FROM i, n
+ WHERE row >= h // 2 - t // 2 AND row < h // 2 - t // 2 + t AND col BETWEEN 17 AND 46""",
+)
 def _(spark, d):
-    square = _image(spark, d).where("row < 99")
-    return images.center_crop(square, (99, 64), (31, 30)).select("row", "col", *r6("v"))
+    height = table(spark, d, "embeddings").count()
+    return images.center_crop(_image(spark, d), (height, 64), (height // 2, 30)).select("row", "col", *r6("v"))
 
 
-@query("image_translate", _IMAGE + ", s AS (SELECT row, col, v FROM i WHERE row < 64) SELECT s.row, CAST(s.col AS INTEGER) AS col, round(coalesce(o.v, 0), 6) + 0.0 AS v FROM s LEFT JOIN s o ON o.row = s.row - 5 AND o.col = s.col + 9")
+@query("image_translate", _IMAGE + "SELECT i.row, CAST(i.col AS INTEGER) AS col, round(coalesce(o.v, 0), 6) + 0.0 AS v FROM i LEFT JOIN i o ON o.row = i.row - 5 AND o.col = i.col + 9")
 def _(spark, d):
-    return images.translate(_image(spark, d).where("row < 64"), 5, -9, (64, 64)).select("row", "col", *r6("v"))
+    height = table(spark, d, "embeddings").count()
+    return images.translate(_image(spark, d), 5, -9, (height, 64)).select("row", "col", *r6("v"))
 
 
 @query(
