@@ -17,7 +17,6 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, slices
 from .pieces import PieceCoder
 
 
@@ -33,8 +33,8 @@ from .pieces import PieceCoder
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-MEMO_ENTRIES = 700_000
-BATCH_ROWS = 4000
+MEMO_ENTRIES = 400_000
+BATCH_ROWS, BATCH_BYTES = 4000, 5 << 20
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -110,10 +110,9 @@ class Bpe:
         return b"".join([strings[i] for i in ids if i < n]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> Bpe:
-    """One per Python worker and file."""
-    return Bpe(path)
+    """One per Python worker."""
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 def with_columns_safe(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -125,7 +124,7 @@ def encode_table(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
-        for at in slices(batches):
+        for at in slices(batches, BATCH_ROWS, "text", BATCH_BYTES):
             ids, sizes = bpe.coder.encode(at["text"])
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([at["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
@@ -146,11 +145,6 @@ def decode_table(df: DataFrame, tokenizer: str, *, key: str = "doc_id", ids: str
     return rows.mapInPandas(decode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        yield from (whole.slice(i, BATCH_ROWS) for i in range(0, len(whole), BATCH_ROWS))
-
-
 def round_trip(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids.
 
@@ -159,7 +153,7 @@ def round_trip(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
-        for at in slices(batches):
+        for at in slices(batches, BATCH_ROWS, "text", BATCH_BYTES):
             ids, sizes = bpe.coder.encode(at["text"])
             ends = np.cumsum(sizes).tolist()
             coded = [ids[a:b] for a, b in zip([0, *ends], ends)]

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 OPEN, CLOSE = "<turn:", "</turn>\n"
 #: Turns whose hashes order the conversations.
@@ -112,7 +112,8 @@ def build_trees(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", rol
         return at.astype({"conv_id": "Int64"})
 
     chained = rows.mapInPandas(chain, "conv_id long, ordinal long, role string, text string, path binary, key binary")
-    chained = written(chained, "turns")
+    scratch = Scratch(df.sparkSession)
+    chained = scratch.write(chained, "turns")
     ordered = chained.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id", "ordinal")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +139,9 @@ def build_trees(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", rol
             yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
 
     trees = ordered.mapInPandas(walk, "conv_id long, ordinal long, part long, start long, end long, position long, text_start long, text_end long, role_is_loss boolean, shared boolean, formatted string, attends array<struct<start: long, end: long>>")
-    return written(trees, "trees")  # ranges are sampled anew by each run, so places hold within one written table only
+    trees = written(trees, "trees")  # ranges are sampled anew by each run, so places hold within one written table only
+    scratch.clear()
+    return trees
 
 
 def read_turns(trees: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of characters that are neither space nor one of tab .. carriage return.
@@ -15,7 +17,21 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 
 
+#: Bytes of an Arrow batch between an executor and its Python workers; both sides hold some at a time.
+BATCH_BYTES = 12 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Makes Arrow batches in this session no larger than ``most`` bytes from now on; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that a query reads; Arrow batches of the session are bounded from here on."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +65,56 @@ def drop_written(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+class Scratch:
+    """Tables written on the way to a result; ``clear`` deletes them once the result itself has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, purpose: str) -> DataFrame:
+        path = shared_dir(self.spark, purpose)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, but: int = 0) -> None:
+        """Deletes all tables, or all but the last so many."""
+        keep = len(self.paths) - but
+        for path in self.paths[:keep]:
+            drop_written(self.spark, path)
+        del self.paths[:keep]
+
+
+_HELD: dict = {}
+
+
+def held(name, make=None):
+    """What a Python worker keeps from task to task: one operator's object at a time, so that idle ones don't add up.
+
+    Without ``make`` everything is let go.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        if make is not None:
+            _HELD[name] = make()
+    return _HELD.get(name)
+
+
+def slices(batches, rows: int, column: int | str, most: int = 8 << 20):
+    """Arrow batches in pieces of so many rows and of so many bytes in a text column; a longer text comes alone."""
+    for whole in batches:
+        if not len(whole):
+            continue
+        sizes = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy().astype("int64")
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(whole):
+            limit = int(ends[at] - sizes[at]) + most
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, limit, side="right"))))
+            yield whole.slice(at, stop - at)
+            at = stop
+
+
 def local_path(uri: str) -> str | None:
     """The POSIX path of a ``file:`` URI or plain path; None for any other store."""
     parsed = urlparse(uri)

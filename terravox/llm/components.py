@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,17 +17,21 @@ def components(edges: DataFrame) -> DataFrame:
     count once, an empty table gives none.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links, mark = written(links, "links"), None
+    scratch, mark = Scratch(edges.sparkSession), None
+    links = scratch.write(links, "links")
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        links = written(small.where("u <> v").distinct(), "links")
+        links = scratch.write(small.where("u <> v").distinct(), "links")
+        scratch.clear(but=1)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
     roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = written(links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+    scratch.clear()
+    return out

@@ -34,12 +34,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, Scratch, held, slices, written
 from .components import components
 
 WORDS = 5
@@ -194,51 +194,56 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     """
     k = max(COORDINATES, bands * rows)
     weighed = (lambda s: s) if weights == "counts" else (lambda s: (s[0], np.ones(len(s[0]), np.int64)))
+    scratch = Scratch(df.sparkSession)
     rows_in = df.select(F.col(key).alias("key"), content(text).alias("content"))
     kind = rows_in.schema["key"].dataType.simpleString()
     once = rows_in.groupBy("content", "key").agg(F.count("*").alias("copies"))
     first = once.groupBy("content").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "copies")).alias("first"))
     nodes = first.select("content", F.monotonically_increasing_id().alias("node"), F.col("first.key").alias("first_key"), F.col("first.copies").alias("copies"))
-    nodes = written(nodes, "nodes")
+    nodes = scratch.write(nodes, "nodes")
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("darts")
         darts = Darts(k)
-        for at in batches:
-            sets = [weighed(shingles(t, words)) for t in at.text]
+        for at in slices(batches, 1000, "text"):
+            sets = [weighed(shingles(t, words)) for t in at["text"].to_pylist()]
             some = [i for i, s in enumerate(sets) if len(s[0])]
             found = darts.signatures([sets[i] for i in some])
-            yield pd.DataFrame({"key": at.key.iloc[some].values, "content": at.content.iloc[some].values, "bands": list(band_keys(found[:, : bands * rows], bands, rows)), "sketch": list(sketches(found))})
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel())) for m in (band_keys(found[:, : bands * rows], bands, rows), sketches(found))]
+            own = pa.array(some, pa.int64())
+            yield pa.RecordBatch.from_arrays([at["key"].take(own), at["content"].take(own), *lists], ["key", "content", "bands", "sketch"])
 
     # signatures of copies are made and left: cheaper than bringing the texts together first
     texts = df.select(F.col(key).alias("key"), content(text).alias("content"), F.col(text).alias("text"))
     own = nodes.select("node", F.col("content").alias("node_content"), "first_key")
     same = lambda t: (t.content == own.node_content) & t.key.eqNullSafe(own.first_key)
-    signatures = texts.mapInPandas(sign, f"key {kind}, content string, bands array<long>, sketch array<long>")
-    signed = written(signatures.join(own, same(signatures)).select("node", "bands", "sketch"), "signatures")
+    signatures = texts.mapInArrow(sign, f"key {kind}, content string, bands array<long>, sketch array<long>")
+    signed = scratch.write(signatures.join(own, same(signatures)).select("node", "bands", "sketch"), "signatures")
     exploded = signed.select("node", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
-    members = written(exploded.join(shared, "band").distinct(), "members")
+    members = scratch.write(exploded.join(shared, "band").distinct(), "members")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("darts")
         last, mine = None, None
-        for at in batches:
-            good = np.zeros(len(at), bool)
-            for i, (a, x, y) in enumerate(zip(at.a, at.text_a, at.text_b)):
+        for at in slices(batches, 1000, "text_b"):
+            good = []
+            for a, x, y in zip(at["a"].to_pylist(), at["text_a"], at["text_b"].to_pylist()):
                 if a != last:
-                    last, mine = a, weighed(shingles(x, words))
-                good[i] = similar(mine, weighed(shingles(y, words)), similarity)
-            yield at.loc[good, ["a", "b"]]
+                    last, mine = a, weighed(shingles(x.as_py(), words))
+                good.append(similar(mine, weighed(shingles(y, words)), similarity))
+            yield at.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     involved = members.select("node").distinct()
-    labels = written(involved.select("node", F.col("node").alias("class")), "labels")
+    labels = scratch.write(involved.select("node", F.col("node").alias("class")), "labels")
     sizes = members.groupBy("band").agg(F.count("*").alias("size"))
     company = members.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("company"))
-    drawn = written(signed.dropDuplicates(["node"]).join(company, "node"), "sketches")
+    drawn = scratch.write(signed.dropDuplicates(["node"]).join(company, "node"), "sketches")
     bodies, turn = None, 0
     while True:
         known = members.join(labels, "node")
         mixed = known.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
-        members = written(known.join(mixed, "band").select("band", "node", "class"), "members")
+        members = scratch.write(known.join(mixed, "band").select("band", "node", "class"), "members")
         if members.isEmpty():
             break
         full = members.join(drawn, "node")
@@ -250,28 +255,30 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
             counts = members.groupBy("band", "class").agg(F.count("*").alias("n"))
             largest = counts.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top")).select("band", F.col("top.class").alias("largest"))
             heads = full.join(largest, "band").where("class <> largest").select("band", *named)
-        heads = written(heads, "heads")
+        heads = scratch.write(heads, "heads")
         near = unlike(F.col("sketch"), F.col("head_sketch"), -(-k // 16)) <= most_unlike(k, similarity)
         once_only = first_shared(F.col("bands"), F.col("head_bands"), bands) == F.col("band")
         pairs = full.join(heads, "band").where(F.expr("node <> head and class <> head_class") & once_only & near)
-        pairs = written(pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
+        pairs = scratch.write(pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
         if not pairs.isEmpty():
             if bodies is None:
                 own = own.join(involved, "node", "left_semi")
-                bodies = written(texts.join(own, same(texts)).select("node", "text").dropDuplicates(["node"]), "texts")
+                bodies = scratch.write(texts.join(own, same(texts)).select("node", "text").dropDuplicates(["node"]), "texts")
             lined = pairs.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
             lined = lined.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-            good = lined.mapInPandas(verify, "a long, b long")
+            good = lined.mapInArrow(verify, "a long, b long")
             ends = good.join(labels.select(F.col("node").alias("a"), F.col("class").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("class").alias("y")), "b")
             merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
             relabelled = labels.join(merged.select(F.col("node").alias("class"), "component"), "class", "left")
-            labels = written(relabelled.select("node", F.coalesce("component", "class").alias("class")), "labels")
+            labels = scratch.write(relabelled.select("node", F.coalesce("component", "class").alias("class")), "labels")
         if turn == SINGLE_ROUNDS:
             break
         members = members.select("band", "node").join(heads.select("band", F.col("head").alias("node")), ["band", "node"], "left_anti")
         turn += 1
     out = nodes.join(labels, "node", "left").select("content", "node", F.coalesce("class", "node").alias("class"), "first_key", "copies")
-    return written(out, "classes")
+    out = written(out, "classes")
+    scratch.clear()
+    return out
 
 
 def class_table(df: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -23,9 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, slices
+
 DIMENSIONS = 512
 SAMPLE_ROWS = 20_000
 UNKNOWN = "und"
@@ -92,13 +95,9 @@ class Letters:
         return out / np.where(norms > 0, norms, 1)
 
 
-_LETTERS: dict[int, Letters] = {}
-
-
 def letters(dimensions: int) -> Letters:
-    if dimensions not in _LETTERS:
-        _LETTERS[dimensions] = Letters(dimensions)
-    return _LETTERS[dimensions]
+    """One per Python worker."""
+    return held(("letters", dimensions), lambda: Letters(dimensions))
 
 
 def held_out(key: Column) -> Column:
@@ -172,10 +171,10 @@ def filter_language(df: DataFrame, prototypes: dict[str, np.ndarray], *, text: s
     """The rows of ``df`` whose text has a language with a score of ``least`` or more, columns as they are."""
     place = df.columns.index(text)
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = classifier(prototypes)
-        for at in batches:
-            langs, scores = predict(at.iloc[:, place].tolist())
-            yield at[(langs != UNKNOWN) & (scores >= least)]
+        for at in slices(batches, 2000, place):
+            langs, scores = predict(at.column(place).to_pylist())
+            yield at.filter(pa.array((langs != UNKNOWN) & (scores >= least)))
 
-    return df.mapInPandas(apply, df.schema)
+    return df.mapInArrow(apply, df.schema)

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, written
+from .common import WORD_PATTERN, Scratch, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -81,10 +81,11 @@ def thresholds(sized: DataFrame, **shares) -> DataFrame:
 
     whole: times that every document is taken; those with a hash below the threshold are taken once more.
     """
+    scratch = Scratch(sized.sparkSession)
     plan = targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), **shares)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = written(plan, "targets")
+    plan = scratch.write(plan, "targets")
     found, state, bits = None, None, 0
     while True:
         bits += LEVEL_BITS
@@ -97,7 +98,7 @@ def thresholds(sized: DataFrame, **shares) -> DataFrame:
         sums = sums.join(open_, "source_key").withColumn("upto", F.col("base") + F.sum(F.col("sum").cast("decimal(38,0)")).over(up_to))
         edge = sums.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("sum") <= F.col("rest")) & (F.col("sum") > 0))
         edge = edge.select("source_key", "rest", F.col("bucket").alias("prefix"), "sum", "single", (F.col("upto") - F.col("sum")).cast("decimal(38,0)").alias("base"))
-        edge = written(edge, "edges")
+        edge = scratch.write(edge, "edges")
         last = bits >= HASH_BITS
         done = edge.where(F.lit(last) | F.col("single"))
         nearer = F.col("base") + F.col("sum") - F.col("rest") < F.col("rest") - F.col("base")
@@ -109,7 +110,9 @@ def thresholds(sized: DataFrame, **shares) -> DataFrame:
             break
     every = F.lit(1 << HASH_BITS)  # no bucket holds the budget: all are taken
     out = plan.join(found, "source_key", "left").withColumn("threshold", F.coalesce("threshold", F.when(F.col("rest") <= 0, F.lit(0)).otherwise(every)))
-    return written(out.select("source_key", "source_size", "target", "whole", "threshold"), "thresholds")
+    out = written(out.select("source_key", "source_size", "target", "whole", "threshold"), "thresholds")
+    scratch.clear()
+    return out
 
 
 def copies() -> Column:

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, held, slices
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -132,8 +133,9 @@ def filter_quality(df: DataFrame, *, text: str = "text") -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns as they are."""
     place = df.columns.index(text)
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for at in batches:
-            yield at[[measure(t)[6] for t in at.iloc[:, place]]] if len(at) else at
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("quality")
+        for at in slices(batches, 2000, place):
+            yield at.filter(pa.array([measure(t)[6] for t in at.column(place).to_pylist()], pa.bool_()))
 
-    return df.mapInPandas(apply, df.schema)
+    return df.mapInArrow(apply, df.schema)

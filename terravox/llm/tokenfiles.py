@@ -26,7 +26,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import local_path, write_bytes
+from .common import held, local_path, slices, write_bytes
 from .pieces import PieceCoder
 
 KEYS = np.dtype([("key", "<i8"), ("valid", "u1")])
@@ -46,7 +45,7 @@ KEYS = np.dtype([("key", "<i8"), ("valid", "u1")])
 #: and end with such a character.
 JOINABLE = re.compile(r" (?:[!-~¡-ɏ]|[!-~¡-ɏ].*[!-~¡-ɏ])", re.DOTALL)
 MEMO_ENTRIES = 900_000
-BATCH_ROWS = 4000
+BATCH_ROWS, BATCH_BYTES = 4000, 14 << 20
 
 
 class LibraryEncoder:
@@ -94,10 +93,9 @@ class LibraryEncoder:
         return self.coder.encode(texts, end_id)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, specials_as_text: bool, kind: str) -> LibraryEncoder:
     """One per Python worker."""
-    return LibraryEncoder(path, specials_as_text, kind)
+    return held(("library", path, specials_as_text, kind), lambda: LibraryEncoder(path, specials_as_text, kind))
 
 
 class OutFile:
@@ -158,19 +156,18 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, *, end_id: int, key: s
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, files = TaskContext.get().partitionId(), {}
         coder, at, docs = encoder(tokenizer, specials_as_text, kind), 0, 0
-        for whole in batches:
-            for batch in (whole.slice(i, BATCH_ROWS) for i in range(0, len(whole), BATCH_ROWS)):
-                if not files:
-                    files = {x: OutFile(f"{out}/part-{part:06d}.{x}") for x in (("tokens", "offsets", "keys") if indexed else ("tokens",))}
-                ids, sizes = coder.encode(batch["text"], end_id)
-                files["tokens"].write(ids.tobytes())
-                if indexed:
-                    files["offsets"].write((at + np.cumsum(sizes) - sizes).astype("<u8").tobytes())
-                    keys = np.zeros(len(batch), KEYS)
-                    keys["valid"] = batch["key"].is_valid().to_numpy(zero_copy_only=False)
-                    keys["key"] = batch["key"].fill_null(0).to_numpy()
-                    files["keys"].write(keys.tobytes())
-                at, docs = at + len(ids), docs + len(batch)
+        for batch in slices(batches, BATCH_ROWS, "text", BATCH_BYTES):
+            if not files:
+                files = {x: OutFile(f"{out}/part-{part:06d}.{x}") for x in (("tokens", "offsets", "keys") if indexed else ("tokens",))}
+            ids, sizes = coder.encode(batch["text"], end_id)
+            files["tokens"].write(ids.tobytes())
+            if indexed:
+                files["offsets"].write((at + np.cumsum(sizes) - sizes).astype("<u8").tobytes())
+                keys = np.zeros(len(batch), KEYS)
+                keys["valid"] = batch["key"].is_valid().to_numpy(zero_copy_only=False)
+                keys["key"] = batch["key"].fill_null(0).to_numpy()
+                files["keys"].write(keys.tobytes())
+            at, docs = at + len(ids), docs + len(batch)
         if files:
             if indexed:
                 files["offsets"].write(np.asarray([at], "<u8").tobytes())
