@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terravox.llm import bpe, dartminhash, langid, mixing, quality
-from terravox.llm.common import drop_written, shared_dir
+from terravox.llm.common import bound_batches, drop_written, shared_dir
 from terravox.llm.queries import TOKENIZER
 
 #: Scores are (1 + cosine) / 2; below this a text is as far from every language as chance.
@@ -18,26 +18,31 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or unlike every language, go."""
+    bound_batches(spark)
     return langid.filter_language(docs, langid.learn(docs), least=LEAST_LANGUAGE_SCORE)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Short and repetitive documents go."""
+    bound_batches(spark)
     return quality.filter_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    bound_batches(spark)
     return dartminhash.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of sources over their target go; those of sources under it may come twice."""
+    bound_batches(spark)
     return mixing.mix_rows(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: its number of ids, and hashes of ids and text."""
+    bound_batches(spark)
     return bpe.round_trip(docs, TOKENIZER)
 
 
