@@ -102,7 +102,8 @@ def backoff_scores(df: DataFrame, *, key: str = "doc_id", text: str = "text", or
     size = rows.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count("text", F.lit(WORD.pattern))).alias("words")).first()
     chars, corpus_words = int(size["chars"] or 0), int(size["words"] or 0)
     groups, parts = max(1, -(-chars // group_chars)), max(1, -(-corpus_words * order // part_grams))
-    docs = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("grp"), "doc_id", "text")
+    # the input partition takes part, or rows repeated in full would all meet in one group
+    docs = rows.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups)).cast("int").alias("grp"), "doc_id", "text")
 
     def ask(at: pd.DataFrame) -> pd.DataFrame:
         found, counts, _ = packed_grams(at.text.tolist(), order)
