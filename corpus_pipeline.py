@@ -12,8 +12,9 @@ from terravox.llm import bpe, dartminhash, langid, mixing, quality
 from terravox.llm.common import bound_batches, drop_written, shared_dir
 from terravox.llm.queries import TOKENIZER
 
-#: Scores are (1 + cosine) / 2; below this a text is as far from every language as chance.
-LEAST_LANGUAGE_SCORE = 0.5
+#: Least likeness to a language. Of 2,499 held-out documents of sf0.1 none is below (lowest 0.235); of each language's
+#: documents, with that language left out of learning, 96 to 98 of 100 are.
+LEAST_LANGUAGE_SCORE = 0.22
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

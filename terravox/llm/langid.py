@@ -6,6 +6,10 @@ letters' vectors, the first rotated twice and the second once, so that order cou
 vectors.  A document gets the language whose prototype has the largest cosine with it, after the mean of all
 prototypes has been taken off prototypes and document alike: what all languages share says nothing.
 
+The best of these cosines can't be negative with two languages or more, so a text in none of them is told by its
+likeness instead: the largest cosine with a prototype as it is, nothing taken off. It grows with the square root of
+a short text's length, so with fewer than ``WHOLE_TRIGRAMS`` trigrams it is divided by the square root of their share.
+
 Letters are alphabetic characters in lower case; each run of others is one blank.  Letters from U+0100 on
 share the 256 letter vectors by a hash.
 
@@ -31,6 +35,8 @@ from .common import held, slices
 
 DIMENSIONS = 512
 SAMPLE_ROWS = 20_000
+#: Trigrams from which on likeness is taken as it is.
+WHOLE_TRIGRAMS = 200
 UNKNOWN = "und"
 SLOTS = 256
 BLANK = 32
@@ -73,7 +79,11 @@ class Letters:
 
     def bundles(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: its unit vector, or zeros without letters."""
-        out = np.zeros((len(texts), self.one.shape[1]), np.float32)
+        return self.sized_bundles(texts)[0]
+
+    def sized_bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The bundles, and the number of trigrams of each text."""
+        out, sizes = np.zeros((len(texts), self.one.shape[1]), np.float32), np.zeros(len(texts), np.int64)
         at = 0
         while at < len(texts):  # some texts together, a long one alone
             end, size = at, 0
@@ -81,6 +91,7 @@ class Letters:
                 size += len(texts[end] or "")
                 end += 1
             grams, doc = self.trigrams([t or "" for t in texts[at:end]])
+            sizes[at:end] = np.bincount(doc, minlength=end - at)
             seen = np.zeros(SLOTS**3, bool)
             seen[grams] = True
             known = np.flatnonzero(seen)
@@ -92,7 +103,7 @@ class Letters:
                 out[at:end] += counts[:, a : a + 8192] @ (self.two[g >> 8] * self.one[g & 255]).astype(np.float32)
             at = end
         norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms > 0, norms, 1)
+        return out / np.where(norms > 0, norms, 1), sizes
 
 
 def letters(dimensions: int) -> Letters:
@@ -154,6 +165,22 @@ def classifier(prototypes: dict[str, np.ndarray]):
     return predict
 
 
+def likeness(prototypes: dict[str, np.ndarray]):
+    """texts -> likeness to the nearest language, from 0 to 1; -1 without letters or languages."""
+    if not prototypes:
+        return lambda texts: np.full(len(texts), -1.0)
+    matrix = np.stack([prototypes[n] for n in sorted(prototypes)])
+    source = letters(matrix.shape[1])
+
+    def measure(texts: list[str | None]) -> np.ndarray:
+        vectors, sizes = source.sized_bundles(texts)
+        cosines = np.round((vectors.astype(float) @ matrix.T).max(axis=1), 6)
+        likest = np.clip(cosines / np.sqrt(np.clip(sizes, 1, WHOLE_TRIGRAMS) / WHOLE_TRIGRAMS), 0, 1)
+        return np.where(vectors.any(axis=1), likest, -1.0)
+
+    return measure
+
+
 def predict_table(df: DataFrame, prototypes: dict[str, np.ndarray], *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
 
@@ -168,13 +195,12 @@ def predict_table(df: DataFrame, prototypes: dict[str, np.ndarray], *, key: str
 
 
 def filter_language(df: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "text", least: float) -> DataFrame:
-    """The rows of ``df`` whose text has a language with a score of ``least`` or more, columns as they are."""
+    """The rows of ``df`` whose text has letters and a likeness of ``least`` or more to a language, columns as they are."""
     place = df.columns.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = classifier(prototypes)
+        measure = likeness(prototypes)
         for at in slices(batches, 2000, place):
-            langs, scores = predict(at.column(place).to_pylist())
-            yield at.filter(pa.array((langs != UNKNOWN) & (scores >= least)))
+            yield at.filter(pa.array(measure(at.column(place).to_pylist()) >= least))
 
     return df.mapInArrow(apply, df.schema)
