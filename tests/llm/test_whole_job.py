@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from terravox.llm import langid
+from terravox.llm import langid, quality
 
 from .fixtures import local
 
@@ -28,3 +28,13 @@ def test_language_stage_rejects_what_is_in_no_learned_language(spark):
     learned = langid.learn(docs.where("lang <> 'fr'"))
     left = langid.filter_language(docs.where("lang = 'fr'"), learned, least=corpus_pipeline.LEAST_LANGUAGE_SCORE).count()
     assert left < 0.1 * docs.where("lang = 'fr'").count()
+
+
+def test_a_passage_repeated_once_decides_beyond_the_base_rules():
+    for passage, words in ((80, 400), (95, 400), (96, 400)):  # 40, 47.5 and 48 percent of the words
+        twice = " ".join(f"p{i:03}" for i in range(passage))
+        text = " ".join([twice, *(f"w{i:03}" for i in range(words - 2 * passage)), twice])
+        base_failed, kept = quality.measure(text)[5:7]
+        assert not base_failed and not kept
+    line = " ".join(f"p{i:03}" for i in range(30))  # a clean document's opening and closing line
+    assert quality.measure(" ".join([line, *(f"w{i:03}" for i in range(190)), line]))[6]
