@@ -4,8 +4,9 @@ Template: a turn is ``<turn:ROLE>\\n`` + text + ``</turn>\\n``.  Inside roles an
 and ``<turn`` and ``</turn`` get ``\\l`` in place of their ``<`` (in roles also ``>`` becomes ``\\g`` and a line
 feed ``\\n``), so no text can hold a mark and every text comes back as it was.
 
-Conversations are ordered by the hashes of their first turns and cut into ranges, so that those with a common
-start follow each other; each range is walked once.  A stack holds the turns on the path from the root to the
+Conversations are ordered by the hashes of all paths down to their turns, each gets its rank in that order, and the
+ranks are cut into ranges, so that those with a common start of any length follow each other; each range is walked
+once.  A stack holds the turns on the path from the root to the
 conversation at hand: turns already on it are not emitted again, the others are appended to the range's flat
 sequence, which is thereby the depth-first order of its trees.  Each emitted turn carries
 
@@ -17,7 +18,7 @@ A tree is cut at range borders, where the shared start is emitted again; so no t
 
 Nulls: a null role or text is empty; rows with a null conversation key are one conversation.  Rows of one
 conversation go by turn (null first), then role and text; repeated rows are turns of their own.  Very long
-texts and conversations are streamed turn by turn.  An empty table gives an empty result; other columns are left
+texts and conversations are streamed turn by turn; of a conversation eight bytes a turn are held together.  An empty table gives an empty result; other columns are left
 behind.
 """
 
@@ -34,8 +35,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, written
 
 OPEN, CLOSE = "<turn:", "</turn>\n"
-#: Turns whose hashes order the conversations.
-ORDER_TURNS = 16
 ASSISTANT = "assistant"
 
 
@@ -80,32 +79,24 @@ def build_trees(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", rol
     rows = _turns(df, conv, turn, role, text).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each turn with its number, the hash of the path down to it, and the conversation's order key."""
-        last, key, waiting, state, number = object(), b"", [], b"", 0
-
-        def flush() -> list:
-            out = [(*w, key) for w in waiting]
-            waiting.clear()
-            return out
-
+        """Each turn with its number and the hash of the path down to it; after a conversation a row with its order key."""
+        last, key, state, number = object(), bytearray(), b"", 0
         for at in batches:
             out = []
             for c, r, t in zip(at.conv_id, at.role, at.text):
                 c = None if c is None or c != c else int(c)
                 if c != last:
-                    out += flush()
-                    last, key, state, number = c, b"", b"", 0
+                    if number:
+                        out.append((last, -1, None, None, None, bytes(key)))
+                    last, key, state, number = c, bytearray(), b"", 0
                 state = hashlib.blake2b(state + f"{len(r)}:{r}:{t}".encode(), digest_size=16).digest()
-                if number < ORDER_TURNS:
-                    key += state[:8]
-                waiting.append((c, number, r, t, state))
+                key += state[:8]
+                out.append((c, number, r, t, state, None))
                 number += 1
-                if number >= ORDER_TURNS:
-                    out += flush()
             if out:
                 yield frame(out)
-        if out := flush():
-            yield frame(out)
+        if number:
+            yield frame([(last, -1, None, None, None, bytes(key))])
 
     def frame(out: list) -> pd.DataFrame:
         at = pd.DataFrame(out, columns=["conv_id", "ordinal", "role", "text", "path", "key"])
@@ -114,7 +105,10 @@ def build_trees(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", rol
     chained = rows.mapInPandas(chain, "conv_id long, ordinal long, role string, text string, path binary, key binary")
     scratch = Scratch(df.sparkSession)
     chained = scratch.write(chained, "turns")
-    ordered = chained.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id", "ordinal")
+    ranks = chained.where("ordinal < 0").repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
+    ranks = scratch.write(ranks.select(F.col("conv_id").alias("ranked"), F.monotonically_increasing_id().alias("rank")), "ranks")  # ascending over partitions, too
+    turns = chained.where("ordinal >= 0").drop("key").join(ranks, F.col("conv_id").eqNullSafe(F.col("ranked")))
+    ordered = turns.repartitionByRange("rank").sortWithinPartitions("rank", "ordinal")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, stack, end = TaskContext.get().partitionId(), [], 0
