@@ -3,7 +3,7 @@
 Tables: the corpus's n-grams of one to ``order`` words, as 64-bit hashes with counts, partitioned by hash; and
 each document's n-grams, exploded and partitioned alike.  To keep rows few, both travel as packed blocks: a group
 of documents sends, for each hash partition, its distinct n-grams with their counts; a partition adds the counts
-of all groups and answers each with the totals of what it asked for; the answers are joined back to the group,
+of all groups and answers each with the counts that the others have of what it asked for; the answers are joined back to the group,
 where the scores of each document's n-grams are added up.  A frequent n-gram is one entry a group, so it makes no
 partition hot.
 
@@ -21,6 +21,7 @@ gives an empty result; other columns are left behind.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,22 +70,48 @@ def packed_grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.nd
     return found, counts.astype("<u4"), len(doc)
 
 
-def _own(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How often each entry's n-gram occurs in its own document."""
-    pair = mix(h ^ mix(doc.astype(np.uint64) + _M))
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, most of which hold zeros, compressed."""
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def unsqueezed(block: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(block), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def packed_hashes(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending hashes as differences, without loss: the five low bytes as they are, the three high ones squeezed."""
+    planes = np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return planes[:, :5].tobytes(), zlib.compress(planes[:, 5:].T.tobytes(), 1)
+
+
+def unpacked_hashes(low: bytes, high: bytes) -> np.ndarray:
+    planes = np.zeros((len(low) // 5, 8), np.uint8)
+    planes[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+    planes[:, 5:] = np.frombuffer(zlib.decompress(high), np.uint8).reshape(3, -1).T
+    return np.cumsum(planes.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def _own(h: np.ndarray, doc: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """How often each entry's n-gram occurs in its own document; once, unless ``often`` says it is repeated at all."""
+    out, at = np.ones(len(h), np.int64), np.flatnonzero(often)
+    pair = mix(h[at] ^ mix(doc[at].astype(np.uint64) + _M))
     _, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
-    return counts[inverse]
+    out[at] = counts[inverse]
+    return out
 
 
-def score_texts(texts: list[str | None], order: int, backoff: float, known: np.ndarray, totals: np.ndarray, corpus_words: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(words, sum of log scores) of each text; ``known`` are n-gram hashes in order, ``totals`` their counts."""
+def score_texts(texts: list[str | None], order: int, backoff: float, known: np.ndarray, here: np.ndarray, totals: np.ndarray, corpus_words: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(words, sum of log scores) of each text; ``known`` are n-gram hashes in order, ``here`` their counts in these texts, ``totals`` in all."""
     grams, doc, place = grams_of([words_of(t) for t in texts], order)
     sizes = np.bincount(doc, minlength=len(texts))
     counts, own_size = [], sizes[doc] if leave_out else np.zeros(len(doc), np.int64)
     for h in grams:
-        c = totals[np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))].astype(np.int64) if len(known) else np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+        c = totals[at].astype(np.int64) if len(known) else np.zeros(len(h), np.int64)
         c[h == 0] = 0
-        counts.append(c - _own(h, doc) * (h != 0) if leave_out else c)
+        counts.append(c - _own(h, doc, here[at] > 1) * (h != 0) if leave_out and len(known) else c)
     n = np.maximum(corpus_words - own_size, 0)
     score = np.where(counts[0] > 0, counts[0] / np.maximum(n, 1), backoff / (n + 1))
     for length in range(1, order):
@@ -109,28 +136,28 @@ def backoff_scores(df: DataFrame, *, key: str = "doc_id", text: str = "text", or
         found, counts, _ = packed_grams(at.text.tolist(), order)
         part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # ascending, as the hashes are
         cuts = np.searchsorted(part, np.arange(parts + 1))
-        out = [(int(at.grp.iloc[0]), p, found[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        return pd.DataFrame(out, columns=["grp", "part", "grams", "counts"])
+        out = [(int(at.grp.iloc[0]), p, *packed_hashes(found[a:b]), squeezed(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        return pd.DataFrame(out, columns=["grp", "part", "low", "high", "counts"])
 
-    asked = docs.groupBy("grp").applyInPandas(ask, "grp int, part int, grams binary, counts binary")
+    asked = docs.groupBy("grp").applyInPandas(ask, "grp int, part int, low binary, high binary, counts binary")
 
     def answer(at: pd.DataFrame) -> pd.DataFrame:
-        grams = [np.frombuffer(b, "<u8") for b in at.grams]
+        grams, counts = [unpacked_hashes(*b) for b in zip(at.low, at.high)], [unsqueezed(b, "<u4") for b in at.counts]
         every, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        totals = np.bincount(inverse, weights=np.concatenate([np.frombuffer(b, "<u4") for b in at.counts]), minlength=len(every))
+        totals = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(every))
         ends = np.cumsum([len(g) for g in grams])
-        answers = [totals[inverse[e - len(g) : e]].astype("<i8").tobytes() for g, e in zip(grams, ends)]
-        return pd.DataFrame({"grp": at.grp, "part": at.part, "totals": answers})
+        answers = [squeezed((totals[inverse[e - len(g) : e]] - c).astype("<i8")) for g, c, e in zip(grams, counts, ends)]  # what the other groups have
+        return pd.DataFrame({"grp": at.grp, "part": at.part, "others": answers})
 
-    answers = asked.groupBy("part").applyInPandas(answer, "grp int, part int, totals binary")
+    answers = asked.groupBy("part").applyInPandas(answer, "grp int, part int, others binary")
 
     def score(at: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         texts = at.text.tolist()
-        known, _, _ = packed_grams(texts, order)
-        totals = np.concatenate([np.frombuffer(b, "<i8") for b in got.sort_values("part").totals]) if len(got) else np.zeros(0, np.int64)
-        if len(totals) != len(known):
+        known, here, _ = packed_grams(texts, order)
+        others = np.concatenate([unsqueezed(b, "<i8") for b in got.sort_values("part").others]) if len(got) else np.zeros(0, np.int64)
+        if len(others) != len(known):
             raise ValueError("answers don't match what was asked")
-        words, logs = score_texts(texts, order, backoff, known, totals, corpus_words, leave_out)
+        words, logs = score_texts(texts, order, backoff, known, here, here + others, corpus_words, leave_out)
         mean = pd.array(logs / np.maximum(words, 1), "Float64")
         mean[words == 0] = pd.NA
         return pd.DataFrame({"doc_id": at.doc_id, "n_words": words, "log_score": logs, "mean_log_score": mean})

@@ -40,6 +40,12 @@ def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", (F.round("log_score", 3) + 0.0).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
 
 
+def op4_backoff_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above with trigrams; the SQL of ``op4_backoff_scores`` states bigrams."""
+    scored = backoff.backoff_scores(table(spark, sf_dir, "documents"), order=3)
+    return scored.select("doc_id", "n_words", (F.round("log_score", 3) + 0.0).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
+
+
 def op5_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
@@ -71,7 +77,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_near_duplicates, op4_backoff_scores, op5_chat_trees, op6_exact_top_k, op7_language_id, op8_quality_rules, op9_bpe_round_trip, op10_source_mix)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_near_duplicates, op4_backoff_scores, op4_backoff_scores_order3, op5_chat_trees, op6_exact_top_k, op7_language_id, op8_quality_rules, op9_bpe_round_trip, op10_source_mix)}
 
 
 OP6_SQL = """

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from terravox.llm import chattree, langid, quality
+from terravox.llm import backoff, chattree, langid, quality
+from terravox.llm import queries as Q
 
 from .fixtures import local
 
@@ -48,3 +49,11 @@ def test_chat_trees_share_turns_beyond_any_number(spark):
     emitted = [(r["part"], r["formatted"], r["position"], str(r["attends"])) for r in trees if not r["shared"]]
     paths = {(r["part"], *(x for x in talks[r["conv_id"]][: r["ordinal"] + 1])) for r in trees}
     assert len(trees) == len(rows) and len(emitted) == len(paths)  # each path once in a range
+
+
+def test_a_query_scores_trigrams(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"]: round(r["log_score"], 3) for r in backoff.backoff_scores(docs, order=3).collect()}
+    got = {r["doc_id"]: r["log_score"] for r in Q.queries()["op4_backoff_scores_order3"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 0.002 for i in want)
+    assert got != {r["doc_id"]: r["log_score"] for r in Q.queries()["op4_backoff_scores"](spark, SF).collect()}
