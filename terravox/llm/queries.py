@@ -40,12 +40,6 @@ def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", (F.round("log_score", 3) + 0.0).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
 
 
-def op4_backoff_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above with trigrams; the SQL of ``op4_backoff_scores`` states bigrams."""
-    scored = backoff.backoff_scores(table(spark, sf_dir, "documents"), order=3)
-    return scored.select("doc_id", "n_words", (F.round("log_score", 3) + 0.0).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
-
-
 def op5_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
@@ -77,7 +71,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_near_duplicates, op4_backoff_scores, op4_backoff_scores_order3, op5_chat_trees, op6_exact_top_k, op7_language_id, op8_quality_rules, op9_bpe_round_trip, op10_source_mix)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_near_duplicates, op4_backoff_scores, op5_chat_trees, op6_exact_top_k, op7_language_id, op8_quality_rules, op9_bpe_round_trip, op10_source_mix)}
 
 
 OP6_SQL = """
@@ -105,16 +99,20 @@ SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x"""
 OP4_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
-g AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM t),
+g AS (SELECT doc_id, i, w, lag(w) OVER p AS h, lag(w, 2) OVER p AS k FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 u AS (SELECT w, count(*) AS c FROM t GROUP BY w), uo AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY doc_id, w),
 b AS (SELECT h, w, count(*) AS c FROM g WHERE h IS NOT NULL GROUP BY h, w), bo AS (SELECT doc_id, h, w, count(*) AS c FROM g WHERE h IS NOT NULL GROUP BY doc_id, h, w),
+r AS (SELECT k, h, w, count(*) AS c FROM g WHERE k IS NOT NULL GROUP BY k, h, w), ro AS (SELECT doc_id, k, h, w, count(*) AS c FROM g WHERE k IS NOT NULL GROUP BY doc_id, k, h, w),
 n AS (SELECT doc_id, len(ws) AS own, sum(len(ws)) OVER () - len(ws) AS n FROM w),
-c AS (SELECT g.doc_id, g.i, u.c - uo.c AS cw, uh.c - uoh.c AS ch, b.c - bo.c AS cb, n.n
+c AS (SELECT g.doc_id, g.i, u.c - uo.c AS c3, uh.c - uoh.c AS c2, b.c - bo.c AS c23, bh.c - boh.c AS c12, r.c - ro.c AS c123, n.n
       FROM g JOIN n ON n.doc_id = g.doc_id JOIN u ON u.w = g.w JOIN uo ON uo.doc_id = g.doc_id AND uo.w = g.w
       LEFT JOIN u uh ON uh.w = g.h LEFT JOIN uo uoh ON uoh.doc_id = g.doc_id AND uoh.w = g.h
-      LEFT JOIN b ON b.h = g.h AND b.w = g.w LEFT JOIN bo ON bo.doc_id = g.doc_id AND bo.h = g.h AND bo.w = g.w),
-f AS (SELECT doc_id, i, CASE WHEN cw > 0 THEN cw / n ELSE 0.4 / (n + 1) END AS one, CASE WHEN cb > 0 AND ch > 0 THEN cb / ch END AS two FROM c),
-q AS (SELECT doc_id, sum(ln(CASE WHEN i = 1 THEN one ELSE coalesce(two, 0.4 * one) END)) AS s FROM f GROUP BY doc_id)
+      LEFT JOIN b ON b.h = g.h AND b.w = g.w LEFT JOIN bo ON bo.doc_id = g.doc_id AND bo.h = g.h AND bo.w = g.w
+      LEFT JOIN b bh ON bh.h = g.k AND bh.w = g.h LEFT JOIN bo boh ON boh.doc_id = g.doc_id AND boh.h = g.k AND boh.w = g.h
+      LEFT JOIN r ON r.k = g.k AND r.h = g.h AND r.w = g.w LEFT JOIN ro ON ro.doc_id = g.doc_id AND ro.k = g.k AND ro.h = g.h AND ro.w = g.w),
+f AS (SELECT doc_id, i, CASE WHEN c3 > 0 THEN c3 / n ELSE 0.4 / (n + 1) END AS one, CASE WHEN c23 > 0 AND c2 > 0 THEN c23 / c2 END AS two, CASE WHEN c123 > 0 AND c12 > 0 THEN c123 / c12 END AS three FROM c),
+s AS (SELECT doc_id, i, one, coalesce(two, 0.4 * one) AS two, three FROM f),
+q AS (SELECT doc_id, sum(ln(CASE WHEN i = 1 THEN one WHEN i = 2 THEN two ELSE coalesce(three, 0.4 * two) END)) AS s FROM s GROUP BY doc_id)
 SELECT n.doc_id, own AS n_words, round(coalesce(s, 0), 3) + 0.0 AS log_score, round(s / own, 5) AS mean_log_score FROM n LEFT JOIN q ON q.doc_id = n.doc_id"""
 
 _TEXT = "replace(replace(replace(text, '\\', '\\\\'), '<turn', '\\lturn'), '</turn', '\\l/turn')"

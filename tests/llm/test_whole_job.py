@@ -11,6 +11,7 @@ from terravox.llm import backoff, chattree, langid, quality
 from terravox.llm import queries as Q
 
 from .fixtures import local
+from .test_search_and_mix import brute_backoff
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,9 +52,16 @@ def test_chat_trees_share_turns_beyond_any_number(spark):
     assert len(trees) == len(rows) and len(emitted) == len(paths)  # each path once in a range
 
 
-def test_a_query_scores_trigrams(spark):
+def test_the_query_scores_trigrams(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r["doc_id"]: round(r["log_score"], 3) for r in backoff.backoff_scores(docs, order=3).collect()}
-    got = {r["doc_id"]: r["log_score"] for r in Q.queries()["op4_backoff_scores_order3"](spark, SF).collect()}
+    got = {r["doc_id"]: r["log_score"] for r in Q.queries()["op4_backoff_scores"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 0.002 for i in want)
-    assert got != {r["doc_id"]: r["log_score"] for r in Q.queries()["op4_backoff_scores"](spark, SF).collect()}
+
+
+def test_rows_repeated_in_full_are_scored_as_often_as_they_stand(spark):
+    rows = [(1, "a b c d")] * 5 + [(2, "a b c e"), (None, "a b"), (None, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["n_words"], round(r["log_score"], 9)) for r in backoff.backoff_scores(df).collect())
+    want = [(k or 0, n, round(s, 9)) for (k, _), (n, s) in zip(rows, brute_backoff([t for _, t in rows], 3, 0.4, True))]
+    assert got == sorted(want)
