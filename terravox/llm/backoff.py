@@ -146,24 +146,45 @@ def words_in(texts: pa.Array) -> int:
 
 
 def grouped(rows: DataFrame, groups: int) -> DataFrame:
-    """(grp, doc_id, text, times): rows repeated in full put together in each batch, groups by a hash of key and text."""
+    """(grp, doc_id, times, sizes, texts): blocks of documents, grouped by a hash of key and text; rows repeated in full
+    are put together in each batch, and a block's texts are compressed."""
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in batches:
-            if len(at):
-                found = pa.Table.from_batches([at]).group_by(["doc_id", "text"]).aggregate([([], "count_all")])
-                yield from found.select(["doc_id", "text", "count_all"]).rename_columns(["doc_id", "text", "times"]).combine_chunks().to_batches()
+            if not len(at):
+                continue
+            own = pa.Table.from_batches([at]).group_by(["grp", "doc_id", "text"]).aggregate([([], "count_all")]).sort_by("grp")
+            grp, keys, texts, times = (plain(own[c]) for c in ("grp", "doc_id", "text", "count_all"))
+            sizes = pc.binary_length(texts)
+            first = np.flatnonzero(np.diff(grp.to_numpy(), prepend=-1)).astype(np.int32)
+            cuts = pa.array([*first.tolist(), len(own)], pa.int32())
+            blobs = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)]):
+                blobs.append(pa.compress("".join(texts.slice(a, b - a).to_pylist()).encode(), "zstd", asbytes=True))
+            lists = [pa.ListArray.from_arrays(cuts, v) for v in (keys, times, sizes.cast(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([grp.take(pa.array(first)), *lists, pa.array(blobs, pa.binary())], ["grp", "doc_id", "times", "sizes", "texts"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    together = rows.mapInArrow(once, f"doc_id {kind}, text string, times long")
-    return together.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("grp"), "doc_id", "text", "times")
+    named = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("grp"), "doc_id", "text")
+    return named.mapInArrow(pack, f"grp int, doc_id array<{kind}>, times array<long>, sizes array<int>, texts binary")
+
+
+def unpacked(at: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """(keys, times, texts) of a group's blocks."""
+    keys, times, sizes = (pc.list_flatten(plain(at[c])) for c in ("doc_id", "times", "sizes"))
+    whole = [int(n) for n in np.add.reduceat(np.append(sizes.to_numpy(), 0), np.cumsum([0, *pc.list_value_length(at["sizes"]).to_pylist()[:-1]]))]
+    data = b"".join(pa.decompress(b.as_py(), n, "zstd", asbytes=True) for b, n in zip(at["texts"], whole))
+    ends = np.concatenate([[0], np.cumsum(sizes.to_numpy(), dtype=np.int64)])
+    texts = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(data))
+    return keys, times.to_numpy(), texts
 
 
 def exploded(docs: DataFrame, order: int, parts: int) -> DataFrame:
     """(part, grp, low, high, counts): the distinct n-grams of each group, in blocks by hash partition."""
 
     def explode(at: pa.Table) -> pa.Table:
-        grams = Grams(plain(at["text"]), at["times"].to_numpy(), order)
+        _, times, texts = unpacked(at)
+        grams = Grams(texts, times, order)
         part = ((grams.known >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # ascending, as the hashes are
         first = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
         cuts = list(zip(first, [*first[1:], len(part)]))
@@ -193,18 +214,18 @@ def summed(docs: DataFrame, counts: DataFrame, order: int, backoff: float, corpu
     """(doc_id, n_words, log_score, mean_log_score): counts joined back to their group, scores summed by document."""
 
     def score(at: pa.Table, got: pa.Table) -> pa.Table:
-        times = at["times"].to_numpy()
-        grams = Grams(plain(at["text"]), times, order)
+        keys, times, texts = unpacked(at)
+        grams = Grams(texts, times, order)
         got = got.sort_by("part")
         others = np.concatenate([np.zeros(0, np.int64), *(unsqueezed(b.as_py()) for b in got["others"])])
         if len(others) != len(grams.known):
             raise ValueError("the joined counts don't match the n-grams")
         logs = grams.scores(others, backoff, corpus_words, leave_out)
         mean = pa.array(logs / np.maximum(grams.sizes, 1), mask=grams.sizes == 0)
-        rows = np.repeat(np.arange(len(at)), times)
-        return pa.table([plain(at["doc_id"]), pa.array(grams.sizes, pa.int64()), pa.array(logs), mean], ["doc_id", "n_words", "log_score", "mean_log_score"]).take(pa.array(rows))
+        rows = np.repeat(np.arange(len(keys)), times)
+        return pa.table([keys, pa.array(grams.sizes, pa.int64()), pa.array(logs), mean], ["doc_id", "n_words", "log_score", "mean_log_score"]).take(pa.array(rows))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.elementType.simpleString()
     return docs.groupBy("grp").cogroup(counts.groupBy("grp")).applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
 
 
