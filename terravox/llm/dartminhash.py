@@ -24,8 +24,9 @@ compared: pairs that differ in more of them than four standard deviations over w
 which loses a pair at 0.8 with a probability of 3e-5.
 
 Nulls, and texts without words: such a document is a class of its own.  A null key takes part by its text.  The
-class id is the smallest key of the class (null, if all are null).  Repeated rows are one class.  Very long
-texts are taken whole.  An empty table gives an empty result.
+class id is the smallest key of the class (null, if all are null).  Repeated rows and ties in key are one class.  Very long
+texts are taken whole.  An empty table gives an empty result.  Other columns are left behind by ``class_table`` and stay as
+they are in ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, held, slices, written
+from .common import WORD, Scratch, fresh, held, slices, written
 from .components import components
 
 WORDS = 5
@@ -298,12 +299,13 @@ def keep_one(df: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -
     classes = near_duplicates(df, key=key, text=text, **how)
     pick = F.struct(F.col("first_key").isNull().alias("none"), "first_key", "content", "copies")
     kept = classes.groupBy("class").agg(F.min(pick).alias("pick")).select("pick.content", "pick.first_key", "pick.copies")
-    kept = written(kept, "kept").withColumnsRenamed({"content": "__content", "first_key": "__key", "copies": "__copies"})
+    own = {c: fresh(df, c) for c in ("content", "first_key", "copies", "worded", "own_content")}
+    kept = written(kept, "kept").select(*[F.col(c).alias(own[c]) for c in ("content", "first_key", "copies")])
     worded = F.regexp_like(F.coalesce(df[text], F.lit("")), F.lit(WORD.pattern))
-    marked = df.withColumn("__worded", worded).withColumn("__own", content(text))
-    chosen = marked.where("__worded").join(kept, (F.col("__own") == F.col("__content")) & F.col(key).eqNullSafe(F.col("__key")))
-    if kept.where("__copies > 1").isEmpty():
+    marked = df.withColumn(own["worded"], worded).withColumn(own["own_content"], content(text))
+    chosen = marked.where(F.col(own["worded"])).join(kept, (F.col(own["own_content"]) == F.col(own["content"])) & F.col(key).eqNullSafe(F.col(own["first_key"])))
+    if kept.where(F.col(own["copies"]) > 1).isEmpty():
         out = chosen
     else:
-        out = chosen.where("__copies = 1").union(chosen.where("__copies > 1").dropDuplicates(["__own"]))
-    return out.select(df.columns).union(marked.where("not __worded").select(df.columns))
+        out = chosen.where(F.col(own["copies"]) == 1).union(chosen.where(F.col(own["copies"]) > 1).dropDuplicates([own["own_content"]]))
+    return out.select(df.columns).union(marked.where(~F.col(own["worded"])).select(df.columns))

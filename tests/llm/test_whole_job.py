@@ -2,12 +2,13 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from terravox.llm import backoff, chattree, langid, quality
+from terravox.llm import backoff, chattree, dartminhash, langid, mixing, quality
 from terravox.llm import queries as Q
 
 from .fixtures import local
@@ -65,3 +66,29 @@ def test_rows_repeated_in_full_are_scored_as_often_as_they_stand(spark):
     got = sorted((r["doc_id"] or 0, r["n_words"], round(r["log_score"], 9)) for r in backoff.backoff_scores(df).collect())
     want = [(k or 0, n, round(s, 9)) for (k, _), (n, s) in zip(rows, brute_backoff([t for _, t in rows], 3, 0.4, True))]
     assert got == sorted(want)
+
+
+def test_equal_rows_at_the_threshold_are_taken_in_part(spark):
+    """100 equal rows of 10 words and a target of 1,714: the second taking ends within them."""
+    rows = [(1, "w " * 10, "a")] * 100 + [(i + 2, "v " * 10, "b") for i in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {}
+    for r in mixing.mix_table(docs).collect():
+        total, target = got.get(r["doc_id"] == 1, (0, 0.0))
+        got[r["doc_id"] == 1] = (total + r["taken"], r["target"])
+    assert all(abs(total - target) <= 5 for total, target in got.values()) and 1000 < got[True][0] < 2000
+    taken = Counter("b" if i > 1 else "a" for (i,) in local(mixing.mix_rows(docs), "doc_id"))
+    assert {k: 10 * n for k, n in taken.items()} == {"a": got[True][0], "b": got[False][0]}
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    clash = ["source_key", "hash", "whole", "threshold", "tie", "copy", "second_hash", "second", "__hash", "__whole", "__own", "content", "first_key", "copies", "worded", "own_content", "WORDED", "grp", "times", "part"]
+    clash = [c for i, c in enumerate(clash) if c.lower() not in [x.lower() for x in clash[:i]]]
+    rows = [(i, " ".join(f"w{(i // 2) * 7 + k}" for k in range(60)), "ab"[i % 2], "en", *[f"{c}{i}" for c in clash]) for i in range(30)] + [(3, "same " * 3, "a", "en", *clash)] * 4
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", "lang", *clash])
+    before = {tuple(r) for r in docs.collect()}
+    for out in (mixing.mix_rows(docs), dartminhash.keep_one(docs), quality.filter_quality(docs), langid.filter_language(docs, langid.learn(docs), least=0.0)):
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= before
+    assert dartminhash.keep_one(docs).count() == 16
+    for table in (mixing.mix_table(docs), dartminhash.class_table(docs), quality.quality_table(docs), backoff.backoff_scores(docs)):
+        assert table.count() == len(rows)
