@@ -1,15 +1,17 @@
 """Exact top-k inner products by columnar branch and bound.
 
-Candidates lie in blocks of a few thousand vectors, stored by dimension: a block of dimensions is a contiguous
-matrix.  For each query the products are accumulated one block of dimensions at a time.  What the dimensions
-still to come can add is at most the product of the two remaining norms (Cauchy-Schwarz); candidates whose sum
-plus that bound stays below the k-th best sum minus its bound are out, and the survivors are compacted before the
+Candidates lie in blocks of a bounded number of components, stored by dimension: each dimension of a block is contiguous, and
+so is a block of dimensions.  For each query the products are accumulated one block of dimensions at a time.  What the
+dimensions still to come can add is at most the product of the two remaining norms (Cauchy-Schwarz); candidates whose
+sum plus that bound stays below the k-th best sum minus its bound are out, and the survivors are compacted before the
 next block.  The survivors' sums are exact at the end.  Dimension blocks are taken in the order of the query's
 mass.
 
-Queries too come in blocks of bounded size.  Each pair of a query block and a candidate block is one unit of
-work; units meet by an equi-join on the block number, and each returns k rows a query at most, of which a
-windowed rank, applied before and after the exchange, keeps k.
+Queries too come in blocks.  Candidate blocks are dealt to shards of some ``SHARD_BLOCKS``; each shard meets each query
+block by an equi-join on the shard's number.  A query block passes a shard's blocks one after the other and carries
+its k best along: candidates that can't reach the k-th best so far are out before the first product, so whole blocks
+are skipped.  Each shard returns k rows a query at most, of which a windowed rank, applied before and after the
+exchange, keeps k.
 
 Components become floor(256 * x).  Vectors that are null or empty or hold null or non-finite components take no
 part; vectors of different lengths are not compared.  Ties go to the smaller vec_id.  Rows repeated in full are
@@ -32,26 +34,30 @@ from .common import written
 K = 5
 SCALE = 256
 DIM_BLOCK = 16
+#: Rows of a block at most, and components.
 CANDIDATES, QUERIES = 4096, 512
+BLOCK_CELLS = 1 << 19
+#: Candidate blocks of a shard, about.
+SHARD_BLOCKS = 16
 EXACT = 2**53
 
 
 def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of up to ``size`` rows of (vec_id, v) of one length: (dim, ids, data) as bytes, from each scan task."""
+    """Blocks of up to ``size`` rows of (vec_id, v) of one length: (dim, ids, data by dimension) as bytes, from each scan task."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
 
         def block(dim: int) -> pd.DataFrame:
             own = held.pop(dim)
-            matrix = np.floor(np.stack([v for _, v in own]) * SCALE)
+            matrix = np.floor(np.stack([v for _, v in own], axis=1) * SCALE)
             kind = "<i4" if np.abs(matrix).max(initial=0) < 2**31 else "<f8"
             return pd.DataFrame({"dim": [dim], "ids": [np.array([i for i, _ in own], "<i8").tobytes()], "data": [matrix.astype(kind).tobytes()]})
 
         for at in batches:
             for i, v in zip(at.vec_id, at.v):
                 held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) == size:
+                if len(held[len(v)]) >= min(size, max(1, BLOCK_CELLS // len(v))):
                     yield block(len(v))
         for dim in list(held):
             yield block(dim)
@@ -61,49 +67,69 @@ def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
 
 
 def unpacked(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and a row for each dimension."""
     own = np.frombuffer(ids, "<i8")
-    return own, np.frombuffer(data, "<i4" if len(data) == 4 * dim * len(own) else "<f8").reshape(-1, dim).astype(float)
+    return own, np.frombuffer(data, "<i4" if len(data) == 4 * dim * len(own) else "<f8").reshape(dim, -1).astype(float)
 
 
-def search(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray, np.ndarray], k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's k best among the candidates."""
-    (q_ids, q), (c_ids, c) = queries, candidates
-    out: list[tuple[int, int, int]] = []
-    if np.abs(q).max(initial=0) * max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) * c.shape[1] >= EXACT or np.abs(c).max(initial=0) ** 2 * c.shape[1] >= EXACT:
-        whole = np.array([[int(x) for x in row] for row in c], object)
-        for i, row in zip(q_ids.tolist(), q):
+class Block:
+    """Candidates by dimension."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray):
+        self.ids, self.data, self.top = ids, data, np.abs(data).max(initial=0)
+        self.cuts = [(a, min(a + DIM_BLOCK, len(data))) for a in range(0, len(data), DIM_BLOCK)]
+        self.columns = [data[a:b] for a, b in self.cuts]
+        self.mass = np.stack([(m**2).sum(axis=0) for m in self.columns])
+        self.whole_mass = self.mass.sum(axis=0)
+
+    def best(self, i: int, row: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
+        """(-score, vec_id) of the k best for query ``i``, without any that surely scores under ``least``."""
+        most = max(np.abs(row).max(initial=0), self.top)
+        if most * most * len(row) >= EXACT:
+            whole = np.array([[int(x) for x in c] for c in self.data.T], object)
             scores = [max(-(2**63), min(2**63 - 1, int(s))) for s in whole @ np.array([int(x) for x in row], object)]
-            best = sorted(((-s, j) for s, j in zip(scores, c_ids.tolist()) if j != i))[:k]
-            out += [(i, j, -s) for s, j in best]
-        return out
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    cuts = [(a, min(a + DIM_BLOCK, c.shape[1])) for a in range(0, c.shape[1], DIM_BLOCK)]
-    columns = [np.ascontiguousarray(c[:, a:b].T) for a, b in cuts]  # by dimension
-    mass = np.stack([(m**2).sum(axis=0) for m in columns])
-    for i, row in zip(q_ids.tolist(), q):
-        parts = [row[a:b] for a, b in cuts]
+            return sorted((-s, j) for s, j in zip(scores, self.ids.tolist()) if j != i)[:k]
+        parts = [row[a:b] for a, b in self.cuts]
         weight = np.array([(p**2).sum() for p in parts])
-        turn = np.argsort(-weight, kind="stable")
-        alive = np.flatnonzero(c_ids != i)
-        total, rest = np.zeros(len(alive)), mass[:, alive].sum(axis=0)
+        turn, ahead = np.argsort(-weight, kind="stable"), float(weight.sum())
+        alive = np.flatnonzero((self.ids != i) & (np.sqrt(ahead * self.whole_mass) * (1 + 1e-9) >= least))
+        total, rest = np.zeros(len(alive)), self.whole_mass[alive]
         for n, t in enumerate(turn):
-            total += parts[t] @ (columns[t] if len(alive) == len(c_ids) else columns[t][:, alive])
-            rest = np.maximum(rest - mass[t, alive], 0)
-            ahead = float(weight[turn[n + 1 :]].sum())
-            if len(alive) > k and n + 1 < len(turn):
-                bound = np.sqrt(ahead * rest) * (1 + 1e-9)
-                low = np.partition(total - bound, len(alive) - k)[len(alive) - k]
+            if not len(alive):
+                return []
+            total += parts[t] @ (self.columns[t] if len(alive) == len(self.ids) else self.columns[t][:, alive])
+            rest, ahead = np.maximum(rest - self.mass[t, alive], 0), float(weight[turn[n + 1 :]].sum())
+            if n + 1 < len(turn):
+                bound, low = np.sqrt(ahead * rest) * (1 + 1e-9), least
+                if len(alive) > k:
+                    low = max(low, np.partition(total - bound, len(alive) - k)[len(alive) - k])
                 keep = total + bound >= low
                 if not keep.all():
                     alive, total, rest = alive[keep], total[keep], rest[keep]
         if len(alive) > k:
-            least = np.partition(total, len(alive) - k)[len(alive) - k]
-            some = np.flatnonzero(total >= least)
+            some = np.flatnonzero(total >= np.partition(total, len(alive) - k)[len(alive) - k])
             alive, total = alive[some], total[some]
-        best = np.lexsort((c_ids[alive], -total))[:k]
-        out += [(i, int(c_ids[alive[b]]), int(total[b])) for b in best]
-    return out
+        order = np.lexsort((self.ids[alive], -total))[:k]
+        return [(-int(total[b]), int(self.ids[alive[b]])) for b in order]
+
+
+class Search:
+    """The k best of each query of a block, over candidate blocks that come one after the other."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int):
+        self.ids, self.rows, self.k = ids.tolist(), np.ascontiguousarray(data.T), k
+        self.found: list[list[tuple[int, int]]] = [[] for _ in self.ids]
+
+    def take(self, block: Block) -> None:
+        for n, (i, row) in enumerate(zip(self.ids, self.rows)):
+            own = self.found[n]
+            least = float(-own[-1][0]) if len(own) == self.k else -np.inf
+            if new := block.best(i, row, self.k, least):
+                self.found[n] = sorted(own + new)[: self.k]
+
+    def result(self) -> list[tuple[int, int, int]]:
+        """(query_id, vec_id, score)."""
+        return [(i, j, -s) for i, own in zip(self.ids, self.found) for s, j in own]
 
 
 def top_k(df: DataFrame, is_query: Column, *, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -114,16 +140,28 @@ def top_k(df: DataFrame, is_query: Column, *, k: int = K, key: str = "vec_id", v
     pick = [F.col(key).cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast("double")).alias("v")]
     cand = packed(rows.select(*pick), CANDIDATES, "c_block")
     asked = packed(rows.where(is_query).select(*pick), QUERIES, "q_block")
-    # a query block goes to every candidate block of its length: units of bounded size, joined by equality
-    numbers = cand.groupBy("dim").agg(F.collect_list("c_block").alias("blocks"))
-    units = asked.join(numbers, "dim").select("q_block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode("blocks").alias("c_block"))
-    units = units.join(cand, "c_block")
+    shards = cand.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SHARD_BLOCKS).alias("shards"))
+    dealt = cand.join(shards, "dim").select("dim", F.pmod(F.xxhash64("c_block"), F.col("shards")).alias("shard"), "c_block", "ids", "data")
+    to_all = asked.join(shards, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "q_block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    # merged with the queries as the streamed side: a query block's units follow each other
+    units = to_all.hint("merge").join(dealt, ["dim", "shard"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, search, blocks = None, None, {}
         for at in batches:
             for u in at.itertuples():
-                yield pd.DataFrame(search(unpacked(u.q_ids, u.q_data, u.dim), unpacked(u.ids, u.data, u.dim), k), columns=["query_id", "vec_id", "score"])
-
-    found = units.select("dim", "q_ids", "q_data", "ids", "data").mapInPandas(run, "query_id long, vec_id long, score long")
+                if now != (u.shard, u.q_block):
+                    if search:
+                        yield pd.DataFrame(search.result(), columns=["query_id", "vec_id", "score"])
+                    now, search = (u.shard, u.q_block), Search(*unpacked(u.q_ids, u.q_data, u.dim), k)
+                if u.c_block not in blocks:
+                    if len(blocks) >= 2 * SHARD_BLOCKS:
+                        blocks.clear()
+                    blocks[u.c_block] = Block(*unpacked(u.ids, u.data, u.dim))
+                search.take(blocks[u.c_block])
+        if search:
+            yield pd.DataFrame(search.result(), columns=["query_id", "vec_id", "score"])
+
+    found = units.select("dim", "shard", "q_block", "c_block", "q_ids", "q_data", "ids", "data").mapInPandas(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -36,6 +36,7 @@ def brute(rows, k):
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 64)
     monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "SHARD_BLOCKS", 2)
     df = vectors(spark)
     got = {}
     for r in topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
@@ -54,7 +55,10 @@ def test_pruning_is_exact():
     c[5] = c[9] = c[700]
     ids = draw.permutation(900)
     q = c[:20]
-    got = topk.search((ids[:20], q), (ids, c), 5)
+    search = topk.Search(ids[:20], q.T, 5)
+    for a in range(0, 900, 130):  # what is found carries over to the next block
+        search.take(topk.Block(ids[a : a + 130], np.ascontiguousarray(c[a : a + 130].T)))
+    got = search.result()
     for n, i in enumerate(ids[:20].tolist()):
         s = c @ q[n]
         want = sorted((-int(v), int(j)) for v, j in zip(s, ids) if j != i)[:5]
@@ -163,3 +167,14 @@ def test_backoff_of_nothing(spark):
     assert backoff.backoff_scores(empty(spark)).count() == 0
     none = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
     assert sorted(map(tuple, backoff.backoff_scores(none).collect())) == [(1, 0, 0.0, None), (2, 0, 0.0, None)]
+
+
+def test_blocks_that_cannot_reach_the_best_are_skipped():
+    draw = np.random.default_rng(3)
+    near, far = np.floor(draw.normal(scale=60, size=(64, 50))), np.floor(draw.normal(scale=0.5, size=(64, 50)))
+    search = topk.Search(np.array([-1]), near[:, :1] * 4, 5)
+    search.take(topk.Block(np.arange(50), near))
+    block = topk.Block(np.arange(50, 100), far)
+    block.columns = None  # no product is made
+    search.take(block)
+    assert len(search.result()) == 5
