@@ -10,21 +10,27 @@ once.  A stack holds the turns on the path from the root to the
 conversation at hand: turns already on it are not emitted again, the others are appended to the range's flat
 sequence, which is thereby the depth-first order of its trees.  Each emitted turn carries
 
-* its place [start, end) in the range's sequence, in code points;
-* the position id of its first code point, which is its distance from the root, not from the sequence's start;
-* the intervals of the sequence that it may attend to besides itself: its ancestors, joined where they touch.
+* its token ids, by the tokenizers library: head, text and closing mark are encoded apart, so that a text is a whole
+  number of tokens and the loss mask falls between tokens; special tokens' strings inside a text stay text;
+* its place in the range's sequence, [token_start, token_end) in tokens and [start, end) in code points;
+* the position id of its first token (``token_position``; the others count on from it) and code point (``position``),
+  which is its distance from the root, not from the sequence's start;
+* the intervals of the sequence that it may attend to besides itself: its ancestors, joined where they touch, in tokens
+  (``token_attends``) and code points (``attends``).
 
 A tree is cut at range borders, where the shared start is emitted again; so no task holds more than one path.
 
 Nulls: a null role or text is empty; rows with a null conversation key are one conversation.  Rows of one
 conversation go by turn (null first), then role and text; repeated rows are turns of their own.  Very long
-texts and conversations are streamed turn by turn; of a conversation eight bytes a turn are held together.  An empty table gives an empty result; other columns are left
-behind.
+texts and conversations are streamed turn by turn; of a conversation eight bytes a turn are held together.  Ties in all
+of conversation, turn, role and text are equal rows.  An empty table gives an empty result; other columns are left
+behind, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, written
+from .common import Scratch, held, written
 
 OPEN, CLOSE = "<turn:", "</turn>\n"
 ASSISTANT = "assistant"
@@ -69,12 +75,44 @@ def _turns(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFra
     return df.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text"))
 
 
-def build_trees(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def library(path: str):
+    """The tokenizer, one per Python worker."""
+
+    def load():
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
+    return held(("chat", path), load)
+
+
+def placed(before: tuple | None, end: int, sizes: tuple[int, int, int]) -> tuple:
+    """(start, end, position, start and end of the text, intervals) of a turn appended at ``end`` under ``before``, its
+    parent; ``sizes`` are those of head, text and closing mark."""
+    start, stop, position, attends = end, end + sum(sizes), 0, []
+    if before is not None:
+        s, e, p, _, _, above = before
+        position = p + e - s
+        attends = [*above[:-1], (above[-1][0], e)] if above and above[-1][1] == s else [*above, (s, e)]
+    return start, stop, position, start + sizes[0], stop - sizes[2], attends
+
+
+PLACE = ["start", "end", "position", "text_start", "text_end", "attends"]
+PLACE_TYPES = "{0}start long, {0}end long, {0}position long, {0}text_start long, {0}text_end long, {0}attends array<struct<start: long, end: long>>"
+TREE_TYPES = f"conv_id long, ordinal long, part long, {PLACE_TYPES.format('')}, {PLACE_TYPES.format('token_')}, role_is_loss boolean, shared boolean, formatted string, ids array<int>"
+
+
+def build_trees(df: DataFrame, tokenizer: str, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each turn of each conversation, in the layout above.
 
-    (conv_id, ordinal, part, start, end, position, text_start, text_end, role_is_loss, shared, formatted,
-    attends array<struct<start, end>>): part numbers the ranges; text_start .. text_end is the turn's text in the
-    sequence; ``formatted`` is null where ``shared`` (the turn at [start, end) of that part holds it).
+    (conv_id, ordinal, part, start, end, position, text_start, text_end, attends, the same in tokens with the prefix
+    ``token_``, role_is_loss, shared, formatted, ids): part numbers the ranges; text_start .. text_end is the turn's text
+    in the sequence; ``formatted`` and ``ids`` are null where ``shared`` (the turn at [start, end) of that part holds them).
     """
     rows = _turns(df, conv, turn, role, text).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -111,66 +149,72 @@ def build_trees(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", rol
     ordered = turns.repartitionByRange("rank").sortWithinPartitions("rank", "ordinal")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, stack, end = TaskContext.get().partitionId(), [], 0
+        part, stack, end, token_end = TaskContext.get().partitionId(), [], 0, 0
+        coder = library(tokenizer)
         for at in batches:
             out = []
             for c, n, r, t, path in zip(at.conv_id, at.ordinal, at.role, at.text, at.path):
-                if n < len(stack) and stack[n][0] == path:  # emitted by a conversation before
-                    _, start, stop, position, a, b, attends = stack[n]
-                    shared, formatted = True, None
-                else:
+                shared, formatted, ids = n < len(stack) and stack[n][0] == path, None, None
+                if not shared:  # not emitted by a conversation before
                     del stack[n:]
                     formatted, head = format_turn(r, t)
-                    start, stop, position, attends = end, end + len(formatted), 0, []
-                    if stack:
-                        _, s, e, p, _, _, before = stack[-1]
-                        position = p + e - s
-                        attends = [*before[:-1], (before[-1][0], e)] if before and before[-1][1] == s else [*before, (s, e)]
-                    a, b, shared, end = start + head, stop - len(CLOSE), False, stop
-                    stack.append((path, start, stop, position, a, b, attends))
-                out.append((c, n, part, start, stop, position, a, b, r == ASSISTANT, shared, formatted, [{"start": s, "end": e} for s, e in attends]))
-            columns = ["conv_id", "ordinal", "part", "start", "end", "position", "text_start", "text_end", "role_is_loss", "shared", "formatted", "attends"]
+                    coded = [e.ids for e in coder.encode_batch_fast([formatted[:head], formatted[head : -len(CLOSE)], CLOSE], add_special_tokens=False)]
+                    ids = [i for part_ids in coded for i in part_ids]
+                    above = stack[-1] if stack else (None, None, None)
+                    chars = placed(above[1], end, (head, len(formatted) - head - len(CLOSE), len(CLOSE)))
+                    tokens = placed(above[2], token_end, tuple(map(len, coded)))
+                    end, token_end = chars[1], tokens[1]
+                    stack.append((path, chars, tokens))
+                _, chars, tokens = stack[n]
+                spans = [v for place in (chars, tokens) for v in (*place[:-1], [{"start": s, "end": e} for s, e in place[-1]])]
+                out.append((c, n, part, *spans, r == ASSISTANT, shared, formatted, ids))
+            columns = ["conv_id", "ordinal", "part", *PLACE, *[f"token_{c}" for c in PLACE], "role_is_loss", "shared", "formatted", "ids"]
             yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
 
-    trees = ordered.mapInPandas(walk, "conv_id long, ordinal long, part long, start long, end long, position long, text_start long, text_end long, role_is_loss boolean, shared boolean, formatted string, attends array<struct<start: long, end: long>>")
+    trees = ordered.mapInPandas(walk, TREE_TYPES)
     trees = written(trees, "trees")  # ranges are sampled anew by each run, so places hold within one written table only
     scratch.clear()
     return trees
 
 
 def read_turns(trees: DataFrame) -> DataFrame:
-    """(conv_id, ordinal, formatted, head, tail, loss) of every turn of every conversation, shared ones looked up."""
-    own = trees.where("not shared").select("part", "start", F.col("formatted").alias("whole"))
-    found = trees.where("shared").join(own, ["part", "start"])
-    columns = ["conv_id", "ordinal", (F.col("text_start") - F.col("start")).alias("head"), (F.col("end") - F.col("text_end")).alias("tail"), F.col("role_is_loss").alias("loss"), "position"]
-    return trees.where("not shared").select(*columns, "formatted").union(found.select(*columns, F.col("whole").alias("formatted")))
+    """(conv_id, ordinal, ids, head, tail, loss, position, token_position) of every turn of every conversation, shared ones
+    looked up; head and tail are the numbers of tokens before and after the turn's text."""
+    own = trees.where("not shared").select("part", "token_start", F.col("ids").alias("whole"))
+    found = trees.where("shared").join(own, ["part", "token_start"])
+    head, tail = F.col("token_text_start") - F.col("token_start"), F.col("token_end") - F.col("token_text_end")
+    columns = ["conv_id", "ordinal", head.alias("head"), tail.alias("tail"), F.col("role_is_loss").alias("loss"), "position", "token_position"]
+    return trees.where("not shared").select(*columns, "ids").union(found.select(*columns, F.col("whole").alias("ids")))
 
 
-def digests(trees: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the trees."""
+def digests(trees: DataFrame, tokenizer: str) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the trees' token ids."""
     rows = read_turns(trees).repartition("conv_id").sortWithinPartitions("conv_id", "ordinal")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, n, turns, loss, loss_chars, chars = object(), 0, None, None, 0, 0
+        last, n, turns, loss, loss_chars, chars, tokens = object(), 0, None, None, 0, 0, 0
+        coder = library(tokenizer)
+        text_of = lambda ids: coder.decode(ids, skip_special_tokens=False)
         result = lambda: (last, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)
         frame = lambda out: pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
         for at in batches:
             out = []
-            for c, formatted, head, tail, is_loss, position in zip(at.conv_id, at.formatted, at["head"], at["tail"], at.loss, at.position):
+            for c, ids, head, tail, is_loss, position, token_position in zip(at.conv_id, at.ids, at["head"], at["tail"], at.loss, at.position, at.token_position):
                 c = None if c is None or c != c else int(c)
                 if c != last:
                     if n:
                         out.append(result())
-                    last, n, turns, loss, loss_chars, chars = c, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
-                if position != chars:
-                    raise ValueError(f"conversation {c}: a turn at {position} follows {chars} code points")
+                    last, n, turns, loss, loss_chars, chars, tokens = c, 0, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+                if (position, token_position) != (chars, tokens):
+                    raise ValueError(f"conversation {c}: a turn at {position}, {token_position} follows {chars} code points, {tokens} tokens")
+                formatted = text_of(ids)
                 role, text = parse_turn(formatted)
                 turns.update(f"{role}\n{text}\n".encode())
                 if is_loss:
-                    text = unescape(formatted[head : len(formatted) - tail])
+                    text = unescape(text_of(ids[head : len(ids) - tail]))
                     loss_chars += len(text)
                     loss.update(text.encode())
-                n, chars = n + 1, chars + len(formatted)
+                n, chars, tokens = n + 1, chars + len(formatted), tokens + len(ids)
             if out:
                 yield frame(out)
         if n:

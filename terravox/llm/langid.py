@@ -13,12 +13,13 @@ a short text's length, so with fewer than ``WHOLE_TRIGRAMS`` trigrams it is divi
 Letters are alphabetic characters in lower case; each run of others is one blank.  Letters from U+0100 on
 share the 256 letter vectors by a hash.
 
-Learning uses labelled rows only, a sample of ``SAMPLE_ROWS`` rows in expectation (all, if there are fewer),
-picked by a hash of the key; prediction sees the text alone and covers every whole text.
+Learning uses labelled rows only, of each label a sample of ``SAMPLE_ROWS`` rows in expectation (all, if there are
+fewer), picked by a hash of key and text; prediction sees the text alone and covers every whole text.
 
 Nulls: a null text, or one without letters, is ``und`` with score 0; a null label teaches nothing.  If nothing
-was learned, all are ``und``.  Ties go to the language that sorts first.  Repeated rows give repeated results,
-an empty table an empty result.
+was learned, all are ``und``.  Ties go to the language that sorts first.  Repeated rows give repeated results, an
+empty table an empty result.  Very long texts are taken whole, a piece at a time.  Other columns are left behind or, in
+``filter_language``, stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,12 @@ from pyspark.sql import functions as F
 from .common import held, slices
 
 DIMENSIONS = 512
-SAMPLE_ROWS = 20_000
+#: Rows of each label that teach, in expectation; all, if there are fewer.
+SAMPLE_ROWS = 5_000
+#: More labels than these are an error: their vectors go to the driver and every task (2 KB each).
+MOST_LABELS = 10_000
+#: Characters that are handled at once.
+PIECE_CHARS = 1_000_000
 #: Trigrams from which on likeness is taken as it is.
 WHOLE_TRIGRAMS = 200
 UNKNOWN = "und"
@@ -63,47 +69,75 @@ class Letters:
         slot[~letter] = BLANK
         return slot, letter
 
-    def trigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All trigrams of some texts as numbers, and the text each is from."""
-        joined = "\0" + "\0".join([t.replace("\0", " ") if "\0" in t else t for t in texts]) + "\0"
-        cp = np.frombuffer(joined.lower().encode("utf-32-le", "replace"), "<u4")
+    def kept(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the letters and of one blank after each run of letters, and which are edges (code point 0)."""
+        cp = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
         slot, letter = self.slots(cp)
         edge = cp == 0
         keep = letter | edge
-        keep[1:] |= letter[:-1]  # one blank after each run of letters
-        edge, slot = edge[keep], slot[keep]
+        keep[1:] |= letter[:-1]
+        return slot[keep], edge[keep]
+
+    def trigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All trigrams of some texts as numbers, and the text each is from."""
+        slot, edge = self.kept("\0" + "\0".join([(t.replace("\0", " ") if "\0" in t else t).lower() for t in texts]) + "\0")
+        inner = np.append(edge[:-1] | (slot[:-1] != BLANK) | ~edge[1:], True)  # the edge is the blank after the last run
+        slot, edge = slot[inner], edge[inner]
         doc = np.cumsum(edge) - 1
-        inside = ~edge[1:-1] & ~(edge[:-2] & edge[2:] & (slot[1:-1] == BLANK))
+        inside = ~edge[1:-1]
         grams = (slot[:-2] * SLOTS + slot[1:-1]) * SLOTS + slot[2:]
         return grams[inside], doc[1:-1][inside]
 
+    def pieces(self, text: str) -> Iterator[np.ndarray]:
+        """The trigrams of one long text, some characters at a time; each piece takes the last two slots of the one before."""
+        text, before, after_letter = text.replace("\0", " ").lower(), np.full(1, BLANK, np.int32), False
+        for at in range(0, len(text), PIECE_CHARS):
+            slot, letter = self.slots(np.frombuffer(text[at : at + PIECE_CHARS].encode("utf-32-le", "replace"), "<u4"))
+            keep = letter.copy()
+            keep[1:] |= letter[:-1]
+            keep[0] |= after_letter
+            after_letter = bool(letter[-1])
+            last = [BLANK] if after_letter and at + PIECE_CHARS >= len(text) else []
+            slot = np.concatenate([before, slot[keep], np.array(last, np.int32)])
+            yield (slot[:-2] * SLOTS + slot[1:-1]) * SLOTS + slot[2:]
+            before = slot[-2:]
+
+    def add(self, out: np.ndarray, grams: np.ndarray, doc: np.ndarray) -> None:
+        """Adds the trigrams' vectors to the rows of their texts, 8,192 distinct ones at a time."""
+        n = len(out)
+        cells, counts = np.unique(grams.astype(np.int64) * n + doc, return_counts=True)
+        known, place = np.unique(cells // n, return_inverse=True)
+        for a in range(0, len(known), 8192):
+            lo, hi = np.searchsorted(place, [a, a + 8192])
+            dense = np.zeros((n, min(8192, len(known) - a)), np.float32)
+            dense[cells[lo:hi] % n, place[lo:hi] - a] = counts[lo:hi]
+            g = known[a : a + 8192]
+            out += dense @ (self.two[g >> 8] * self.one[g & 255]).astype(np.float32)
+
     def bundles(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: its unit vector, or zeros without letters."""
         return self.sized_bundles(texts)[0]
 
     def sized_bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The bundles, and the number of trigrams of each text."""
-        out, sizes = np.zeros((len(texts), self.one.shape[1]), np.float32), np.zeros(len(texts), np.int64)
+        out, sizes = np.zeros((len(texts), self.one.shape[1])), np.zeros(len(texts), np.int64)
         at = 0
         while at < len(texts):  # some texts together, a long one alone
             end, size = at, 0
-            while end < len(texts) and end - at < 192 and (end == at or size + len(texts[end] or "") <= 1_000_000):
+            while end < len(texts) and end - at < 192 and (end == at or size + len(texts[end] or "") <= PIECE_CHARS):
                 size += len(texts[end] or "")
                 end += 1
-            grams, doc = self.trigrams([t or "" for t in texts[at:end]])
-            sizes[at:end] = np.bincount(doc, minlength=end - at)
-            seen = np.zeros(SLOTS**3, bool)
-            seen[grams] = True
-            known = np.flatnonzero(seen)
-            place = np.zeros(SLOTS**3, np.int32)
-            place[known] = np.arange(len(known), dtype=np.int32)
-            counts = np.bincount(doc * len(known) + place[grams], minlength=(end - at) * len(known)).reshape(end - at, -1).astype(np.float32)
-            for a in range(0, len(known), 8192):
-                g = known[a : a + 8192]
-                out[at:end] += counts[:, a : a + 8192] @ (self.two[g >> 8] * self.one[g & 255]).astype(np.float32)
+            if size > PIECE_CHARS:
+                for grams in self.pieces(texts[at]):
+                    sizes[at] += len(grams)
+                    self.add(out[at:end], grams, np.zeros(len(grams), np.int64))
+            else:
+                grams, doc = self.trigrams([t or "" for t in texts[at:end]])
+                sizes[at:end] = np.bincount(doc, minlength=end - at)
+                self.add(out[at:end], grams, doc)
             at = end
         norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms > 0, norms, 1), sizes
+        return (out / np.where(norms > 0, norms, 1)).astype(np.float32), sizes
 
 
 def letters(dimensions: int) -> Letters:
@@ -120,9 +154,14 @@ def learn(df: DataFrame, *, key: str = "doc_id", text: str = "text", label: str
     """Prototypes by language. What reaches the driver is one vector a language."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
     rows = rows.where("label is not null").where(~held_out(F.col("key")))
-    number = rows.select("key", "label").count()
-    if number > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("key"), F.lit(3)), F.lit(1 << 30)) < int(sample_rows / number * (1 << 30)))
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    large = {r["label"]: r["n"] for r in counts if r["n"] > sample_rows}
+    if large:
+        draw = F.pmod(F.xxhash64(F.col("key"), F.col("text"), F.lit(3)), F.lit(1 << 30))
+        limits = rows.sparkSession.createDataFrame([(k, int(sample_rows / n * (1 << 30))) for k, n in large.items()], "label string, below long")
+        rows = rows.join(F.broadcast(limits), "label", "left").where(F.col("below").isNull() | (draw < F.col("below"))).drop("below")
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}

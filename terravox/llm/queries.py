@@ -44,7 +44,7 @@ def op5_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chattree.digests(chattree.build_trees(rows.union(more)))
+    return chattree.digests(chattree.build_trees(rows.union(more), TOKENIZER), TOKENIZER)
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,11 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from terravox.llm import chattree, langid, quality
 from terravox.llm.common import WORD
+from terravox.llm.queries import TOKENIZER
 
 from .fixtures import documents, empty, local
 
@@ -93,7 +95,7 @@ def test_bundles_equal_letter_by_letter():
     for text, v in zip(texts, got):
         want = slow_bundle(text, letters)
         if any(c.isalpha() for c in text):
-            assert np.allclose(v, want / np.linalg.norm(want), atol=0.2) and v @ want / np.linalg.norm(want) > 0.97
+            assert np.allclose(v, want / np.linalg.norm(want), atol=1e-6)
         else:
             assert not v.any()
     together = letters.bundles(texts * 300)
@@ -117,12 +119,55 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert "xx" not in langid.learn(shuffled)
 
 
+def test_long_texts_are_bundled_piece_by_piece(monkeypatch):
+    letters, draw = langid.Letters(64), random.Random(6)
+    for size in (1, 2, 3, 10, 57):
+        monkeypatch.setattr(langid, "PIECE_CHARS", size)
+        for _ in range(60):
+            text = "".join(draw.choice("ab Éß1日. \n\0") for _ in range(draw.randint(0, 90)))
+            want = slow_bundle(text, letters)
+            got, sizes = letters.sized_bundles([text])
+            assert np.allclose(got[0], want / max(np.linalg.norm(want), 1e-9), atol=1e-6), repr(text)
+
+
+def test_languages_equal_brute_force(spark):
+    """Prototypes, predictions and scores, letter by letter."""
+    draw, rows = random.Random(8), []
+    for i in range(60):
+        lang = ("aa", "bb", None)[i % 3]
+        rows.append((i, " ".join("".join(draw.choice("abcde" if i % 2 else "defgh") for _ in range(4)) for _ in range(i % 7 + 1)), lang))
+    rows += [(61, None, "aa"), (62, "12", "bb"), (None, "abc abd", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    letters, sums, out = langid.Letters(langid.DIMENSIONS), {}, lambda key: key is not None and zlib.crc32(str(key).encode()) % 4 == 2
+    one = lambda t: (lambda v: v / max(np.linalg.norm(v), 1e-9))(slow_bundle(t or "", letters))
+    for key, text, lang in rows:
+        if lang and not out(key):
+            sums[lang] = sums.get(lang, 0) + one(text)
+    want = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    got = langid.learn(docs)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+    mean = (want["aa"] + want["bb"]) / 2
+    for r, (key, text, _) in zip(sorted(langid.predict_table(docs, got).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"])), rows):
+        assert r["doc_id"] == key and r["held_out"] == out(key)
+        v = one(text)
+        if not v.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        cosines = {k: float((v - mean) @ (want[k] - mean) / np.linalg.norm(v - mean) / np.linalg.norm(want[k] - mean)) for k in want}
+        assert abs(r["score"] - (1 + max(cosines.values())) / 2) < 1e-4
+        assert r["lang_pred"] == max(cosines, key=cosines.get) or abs(cosines["aa"]) < 1e-4
+
+
+def test_rare_languages_are_learned_beside_frequent_ones(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 == 0, "zyx wvu").otherwise("abc def").alias("text"), F.when(F.col("id") % 500 == 0, "rare").otherwise("often").alias("lang"))
+    found = langid.learn(docs, sample_rows=20)
+    assert set(found) == {"rare", "often"}
+
+
 def test_language_of_awkward_rows(spark):
     docs = documents(spark)
     prototypes = langid.learn(docs)
     assert set(prototypes) == {"en", "fr"}
-    for r, (i, text) in zip(sorted(langid.predict_table(docs, prototypes).collect(), key=repr), sorted(local(docs, "doc_id", "text"), key=repr)):
-        del r, i, text
     got = langid.predict_table(docs.withColumn("doc_id", F.monotonically_increasing_id()), prototypes).collect()
     texts = dict(local(docs.withColumn("doc_id", F.monotonically_increasing_id()), "doc_id", "text"))
     for r in got:
@@ -162,14 +207,14 @@ def brute_digest(df):
 
 def test_chat_digests_equal_brute_force(spark):
     df = conversations(spark)
-    trees = chattree.build_trees(df)
-    assert sorted(map(tuple, chattree.digests(trees).collect()), key=repr) == brute_digest(df)
-    assert chattree.digests(chattree.build_trees(df.where("false"))).count() == 0
+    trees = chattree.build_trees(df, TOKENIZER)
+    assert sorted(map(tuple, chattree.digests(trees, TOKENIZER).collect()), key=repr) == brute_digest(df)
+    assert chattree.digests(chattree.build_trees(df.where("false"), TOKENIZER), TOKENIZER).count() == 0
 
 
 def test_trees_share_and_attend(spark):
-    rows = chattree.build_trees(conversations(spark).repartition(1)).collect()
-    parts = {}
+    rows = chattree.build_trees(conversations(spark).repartition(1), TOKENIZER).collect()
+    parts, library = {}, Tokenizer.from_file(TOKENIZER)
     for r in rows:
         if not r["shared"]:
             parts.setdefault(r["part"], []).append(r)
@@ -184,6 +229,14 @@ def test_trees_share_and_attend(spark):
             assert len(before) == r["position"]
             mine = sorted((x for x in rows if x["part"] == part and x["conv_id"] == r["conv_id"] and x["ordinal"] < r["ordinal"]), key=lambda x: x["ordinal"])
             assert before == "".join(flat[x["start"] : x["end"]] for x in mine)
+        # the same in tokens
+        ids = [i for r in own for i in r["ids"]]
+        assert [r["token_end"] for r in own][:-1] == [r["token_start"] for r in own][1:] and own[-1]["token_end"] == len(ids)
+        for r in own:
+            seen = [i for a in r["token_attends"] for i in ids[a["start"] : a["end"]]]
+            assert len(seen) == r["token_position"] and library.decode(seen, skip_special_tokens=False) == "".join(flat[a["start"] : a["end"]] for a in r["attends"])
+            assert library.decode(r["ids"], skip_special_tokens=False) == r["formatted"]
+            assert library.decode(ids[r["token_text_start"] : r["token_text_end"]], skip_special_tokens=False) == flat[r["text_start"] : r["text_end"]]
 
 
 def test_escape_is_reversible():

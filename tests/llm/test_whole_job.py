@@ -47,7 +47,7 @@ def test_chat_trees_share_turns_beyond_any_number(spark):
     say = lambda branch, n: [(t, ("user", "assistant")[t % 2], f"turn {t}" if t < 16 else f"{branch} {t}") for t in range(n)]
     talks = {10: say("a", 20), 11: say("b", 20), 12: [*say("a", 20), (20, "user", "more")], 13: say("b", 24), 14: say("a", 19)}
     rows = [(c, *turn) for c, talk in talks.items() for turn in talk]
-    trees = chattree.build_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    trees = chattree.build_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Q.TOKENIZER).collect()
     emitted = [(r["part"], r["formatted"], r["position"], str(r["attends"])) for r in trees if not r["shared"]]
     paths = {(r["part"], *(x for x in talks[r["conv_id"]][: r["ordinal"] + 1])) for r in trees}
     assert len(trees) == len(rows) and len(emitted) == len(paths)  # each path once in a range
