@@ -2,10 +2,12 @@
 
 ``Bpe`` is built from the vocabulary file of a public tokenizer (a parameter; never trained here) and
 yields the ids of that tokenizer without template tokens, truncation or padding.  An added token's
-string inside a text becomes that token's id.
+string inside a text becomes that token's id.  A tokenizer of another kind (with a normalizer, another splitting
+rule, marks at word ends) is an error when it is loaded.
 
-Nulls: a null text encodes as the empty one (no ids).  Very long texts are handled piece by piece.
-Repeated rows give repeated results.  An empty table gives an empty result.
+Nulls: a null text encodes as the empty one (no ids), a null key stays.  Very long texts are handled piece by piece.
+Repeated rows and equal keys give repeated results; of pairs that tie in rank the leftmost merges first.  An empty table
+gives an empty result.  Other columns are left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held, slices
-from .pieces import PieceCoder
+from .pieces import PieceCoder, splittable
 
 
 #: The public pattern that splits text before the merges.
@@ -48,6 +50,8 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not splittable(spec):
+            raise ValueError(f"{path} is no plain byte-level BPE tokenizer")
         alphabet = byte_alphabet()
         letter_to_byte = {c: b for b, c in alphabet.items()}
         vocab = spec["model"]["vocab"]
@@ -145,10 +149,10 @@ def decode_table(df: DataFrame, tokenizer: str, *, key: str = "doc_id", ids: str
     return rows.mapInPandas(decode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids.
 
-    One pass without a shuffle; ids never leave the worker, so the result stays small.
+    One pass without a shuffle.  ``with_ids`` adds the ids themselves, as array<int>; else they never leave the worker.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,16 +161,16 @@ def round_trip(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
             ids, sizes = bpe.coder.encode(at["text"])
             ends = np.cumsum(sizes).tolist()
             coded = [ids[a:b] for a, b in zip([0, *ends], ends)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    at["doc_id"],
-                    pa.array(sizes),
-                    pa.array([hashlib.sha256(c.tobytes()).hexdigest() for c in coded], pa.string()),
-                    pa.array([hashlib.sha256(bpe.decode(c.tolist()).encode()).hexdigest() for c in coded], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = {
+                "doc_id": at["doc_id"],
+                "n_tokens": pa.array(sizes),
+                "ids_sha256": pa.array([hashlib.sha256(c.tobytes()).hexdigest() for c in coded], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(c.tolist()).encode()).hexdigest() for c in coded], pa.string()),
+            }
+            if with_ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_pydict(columns)
 
     rows = with_columns_safe(df, text, key)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -4,6 +4,10 @@ A text is cut at blanks between two characters that are surely no white space: t
 stands around it, so the ids of the pieces in a row are the ids of the text.  A full stop or comma after a letter or
 digit starts a token too, and is taken off a piece's end.  Arrow splits and numbers the pieces of a batch; only
 distinct ones reach Python, and those met before come from a memo of bounded size.
+
+That holds for the tokenizers that ``splittable`` admits, which is checked when one is loaded.
+
+Texts are not null here; an empty one has no ids, a very long one is cut like any other, repeated ones share their pieces.
 """
 
 from __future__ import annotations
@@ -25,6 +29,18 @@ ENDINGS = (".", ",")
 LONGEST = 64
 
 
+def splittable(spec: dict) -> bool:
+    """Whether ids of pieces in a row are surely the ids of the text: byte-level pairs with the plain splitting rule, no
+    normalizer, no marks at word ends, no chance, and added tokens that neither hold a blank nor reach beyond their string."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer"):
+        return False
+    added = spec.get("added_tokens", [])
+    return all(not t.get(x) for t in added for x in ("lstrip", "rstrip", "single_word")) and all(t["content"] and " " not in t["content"] and START not in t["content"] for t in added)
+
+
 class PieceCoder:
     """``encode_new`` maps distinct pieces that the memo lacks to the bytes of their ids, of integer type ``kind``."""
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
 from .common import held, local_path, slices, write_bytes
-from .pieces import PieceCoder
+from .pieces import PieceCoder, splittable
 
 KEYS = np.dtype([("key", "<i8"), ("valid", "u1")])
 
@@ -49,7 +49,7 @@ BATCH_ROWS, BATCH_BYTES = 4000, 14 << 20
 
 
 class LibraryEncoder:
-    """The tokenizers library over whole texts, by distinct pieces (``pieces.py``)."""
+    """The tokenizers library over whole texts, by distinct pieces (``pieces.py``) where the tokenizer allows that."""
 
     def __init__(self, path: str, specials_as_text: bool, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,7 +64,8 @@ class LibraryEncoder:
         self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.widths[i] = len(token.encode()) if token in specials or not set(token) <= set(alphabet.values()) else len(token)
-        self.coder = PieceCoder(self.encode_new, kind, MEMO_ENTRIES)
+        with open(path, encoding="utf-8") as f:
+            self.coder = PieceCoder(self.encode_new, kind, MEMO_ENTRIES) if splittable(json.load(f)) else None
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,7 +91,10 @@ class LibraryEncoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text's ended by the end id, and their numbers."""
-        return self.coder.encode(texts, end_id)
+        if self.coder is not None:
+            return self.coder.encode(texts, end_id)
+        ids = [np.asarray([*found, end_id], self.kind) for found in self.library(texts.to_pylist())]
+        return np.concatenate([np.zeros(0, self.kind), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 def encoder(path: str, specials_as_text: bool, kind: str) -> LibraryEncoder:

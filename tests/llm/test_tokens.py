@@ -123,3 +123,14 @@ def test_counts_of_written_files(spark, tmp_path, library):
     want = Counter(1 + len(library.encode(t or "", add_special_tokens=False).ids) for (t,) in local(docs, "text"))
     library.encode_special_tokens = False
     assert Counter(r["n_tokens"] for r in got) == want and all(r["ended"] for r in got)
+
+
+def test_other_tokenizers_get_whole_texts(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello  world, it's Fine", "", "ONE\ntwo <|endoftext|>", "a " * 50]
+    library = Tokenizer.from_file(path)
+    ids, sizes = tokenfiles.LibraryEncoder(path, False, "<u2").encode(pa.array(texts), 2)
+    for text, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert got.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Bpe(path)
