@@ -42,9 +42,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded again: its number of ids, and hashes of ids and text."""
+    """Every document encoded and decoded again: its ids, their number, and hashes of ids and text."""
     bound_batches(spark)
-    return bpe.round_trip(docs, TOKENIZER)
+    return bpe.round_trip(docs, TOKENIZER, with_ids=True)
 
 
 STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("source_mix", source_mix), ("token_ids", token_ids)]
