@@ -37,7 +37,7 @@ from .dartminhash import mix
 
 ORDER, BACKOFF = 3, 0.4
 #: Code points of text in a group of documents, and n-grams in a hash partition, on average.
-GROUP_CHARS, PART_GRAMS = 12_000_000, 2_000_000
+GROUP_CHARS, PART_GRAMS = 7_000_000, 1_500_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
