@@ -121,7 +121,8 @@ def pixels_to_inches(pixels: Column, ppi: float = 91.79) -> Column:
 
 
 def markdown_header(columns: int) -> str:
-    return "\n".join(["   ".join("|" * (columns + 1)), " --- ".join("|" * (columns + 1))])
+    line = lambda cell: "|" + f"{cell}|" * columns
+    return f"{line('   ')}\n{line(' --- ')}"
 
 
 def markdown_row(cells: Sequence[Column]) -> Column:

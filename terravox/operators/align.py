@@ -109,11 +109,18 @@ def _fit(rows: list[list[float]], with_scale: bool) -> Similarity:
 
 def nearest_neighbors(src: DataFrame, dst: DataFrame, *, radius: float = math.inf, src_id: str = "i", dst_id: str = "j", xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """(i, j, d2): the nearest destination of each source within ``radius``, ties to the smallest j; sources without
-    one are left out.
+    one are left out.  Rows with a null, NaN or infinite coordinate take no part.
 
     A finite radius is an equi-join on cells.  Without one, cells grow from the mean spacing, doubling for the
     sources that have found nothing yet, until all have; a small destination table is compared in full.
     """
+    def finite(df: DataFrame) -> DataFrame:
+        inside = F.lit(True)
+        for c in xyz:
+            inside &= F.coalesce(F.abs(F.col(c)) < math.inf, F.lit(False))  # NaN is larger than infinity
+        return df.where(inside)
+
+    src, dst = finite(src), finite(dst)
     best = lambda pairs: pairs.groupBy(src_id).agg(F.min(F.struct("d2", dst_id)).alias("b")).select(src_id, F.col(f"b.{dst_id}").alias(dst_id), F.col("b.d2").alias("d2"))
     if math.isfinite(radius):
         return best(cell_join(src, dst, radius=radius, xyz=xyz, src_id=src_id, dst_id=dst_id))
@@ -122,6 +129,8 @@ def nearest_neighbors(src: DataFrame, dst: DataFrame, *, radius: float = math.in
     if dst.limit(ALL_PAIRS_ROWS + 1).count() <= ALL_PAIRS_ROWS:
         off = [F.col(f"__s{k}") - F.col(f"__d{k}") for k in range(3)]
         return best(s.join(F.broadcast(d)).select(src_id, dst_id, G.dot(off, off).alias("d2")))
+    if src.isEmpty():
+        return best(cell_join(src, dst, radius=1.0, xyz=xyz, src_id=src_id, dst_id=dst_id))
     bounds = dst.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in xyz]).first()
     far = src.select(*[F.max(F.abs(c)).alias(c) for c in xyz]).first()
     reach = sum(bounds[c] for c in xyz) + 2 * sum((v or 0.0) for v in far)

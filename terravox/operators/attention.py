@@ -27,11 +27,11 @@ def edge_attention(queries: DataFrame, keys: DataFrame, edges: DataFrame, *, hea
     The softmax needs a query's maximum and sum only, which are aggregated, so a query with many edges is no hot group.
     """
     part = lambda c, h: F.slice(F.col(c), h * width + 1, width)
-    rows = edges.select("q", "k").join(queries.select("q", "vq"), "q").join(keys.select("k", "vk", "vv"), "k")
+    rows = edges.select("q", "k").join(queries.select("q", "vq"), "q").join(keys.select("k", "vk"), "k")
     logits = F.array(*[_dot(part("vq", h), part("vk", h)) / math.sqrt(width) for h in range(heads)])
-    rows = rows.select("q", "vv", logits.alias("logits"))
+    rows = rows.select("q", "k", logits.alias("logits"))  # narrow: this is what the maximum and its join exchange
     top = rows.groupBy("q").agg(*[F.max(F.col("logits")[h]).alias(f"m{h}") for h in range(heads)])
-    rows = rows.join(top, "q").select("q", "vv", *[F.exp(F.col("logits")[h] - F.col(f"m{h}")).alias(f"e{h}") for h in range(heads)])
+    rows = rows.join(top, "q").join(keys.select("k", "vv"), "k").select("q", "vv", *[F.exp(F.col("logits")[h] - F.col(f"m{h}")).alias(f"e{h}") for h in range(heads)])
     sums = [F.sum(f"e{h}").alias(f"s{h}") for h in range(heads)]
     sums += [F.sum(F.col(f"e{h}") * F.col("vv")[h * width + i]).alias(f"o{h}_{i}") for h in range(heads) for i in range(width)]
     got = rows.groupBy("q").agg(*sums)

@@ -62,7 +62,14 @@ def keyframes(df: DataFrame, *, by: list[str], order: list[str], idx: str, xyz:
 
 
 def randomize_labels(df: DataFrame, label: str, *, seed: int = 0, name: str = "random_label") -> DataFrame:
-    """A random one-to-one map of labels onto 0 .. k - 1: labels in the order of a seeded hash."""
-    labels = df.select(F.col(label).alias("__label")).distinct()
-    place = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col("__label")), "__label")) - 1
-    return df.join(labels.withColumn(name, place), F.col(label).eqNullSafe(F.col("__label"))).drop("__label")
+    """A random one-to-one map of labels onto 0 .. k - 1: labels in the order of a seeded hash.
+
+    Hashes are cut into 65,536 ranges; a label's place is the number of labels in the ranges before, and its place in its own.
+    """
+    drawn = F.xxhash64(F.lit(seed), F.col("__label"))
+    labels = df.select(F.col(label).alias("__label")).distinct().withColumn("__range", F.shiftright(drawn, 48))
+    ranges = labels.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = ranges.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy(drawn, "__label")) - 1
+    numbered = labels.join(before, "__range").select("__label", place.cast("int").alias(name))
+    return df.join(numbered, F.col(label).eqNullSafe(F.col("__label"))).drop("__label")

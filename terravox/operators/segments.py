@@ -1,28 +1,37 @@
 """Aggregates over segments [s, e) of an ordered series; segments may overlap.
 
 ``series`` has an order column ``i`` (0, 1, ..) and values; ``segments`` has (seg, s, e).  A segment with s = e takes
-the row at s, and counts 1.  Segments outside the series are an error: see ``check_segments``.
+the row at s, and counts 1.  Segments outside the series, or that end before they start, are an error: every operator
+checks them against the series' length (its largest place and one).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checks import checked, no_nan
 from ..plans.physical import bucketed_range_join, first_max, first_min
 
 BUCKET = 64
+#: Numbers of segments that one task orders.
+STARTS_A_BLOCK = 1 << 16
 
 
-def check_segments(segments: DataFrame, n: int) -> DataFrame:
+def length_of(series: DataFrame) -> Column:
+    """The largest place and one, as a scalar subquery that reads the place alone."""
+    return series.select("i").agg(F.coalesce(F.max("i") + 1, F.lit(0))).scalar()
+
+
+def check_segments(segments: DataFrame, n: int | Column) -> DataFrame:
     """Fails the query where not 0 <= s < n, or not s <= e <= n."""
     s, e = F.col("s"), F.col("e")
-    return segments.withColumn("s", checked(s, (s >= 0) & (s < n) & (s <= e) & (e <= n), f"a segment leaves [0, {n}) or ends before it starts"))
+    return segments.withColumn("s", checked(s, (s >= 0) & (s < n) & (s <= e) & (e <= n), "a segment leaves the series or ends before it starts"))
 
 
-def _rows(series: DataFrame, segments: DataFrame, bucket: int) -> DataFrame:
-    return bucketed_range_join(segments.select("seg", "s", "e"), series, bucket=bucket)
+def _rows(series: DataFrame, segments: DataFrame, bucket: int, *more: str) -> DataFrame:
+    inside = check_segments(segments.select("seg", "s", "e", *more), length_of(series))
+    return bucketed_range_join(inside, series, bucket=bucket)
 
 
 def segmented(series: DataFrame, segments: DataFrame, aggregates: dict[str, Column], *, bucket: int = BUCKET) -> DataFrame:
@@ -34,9 +43,10 @@ def segmented_sum(series: DataFrame, segments: DataFrame, value: str = "x", *, b
     return segmented(series, segments, {"sum": F.sum(value)}, bucket=bucket)
 
 
-def segmented_count(segments: DataFrame) -> DataFrame:
-    """e - s, and 1 for an empty segment; the series is not needed."""
-    return segments.select("seg", F.greatest(F.col("e") - F.col("s"), F.lit(1)).cast("bigint").alias("count"))
+def segmented_count(segments: DataFrame, n: int | DataFrame) -> DataFrame:
+    """e - s, and 1 for an empty segment; ``n`` is the series or its length."""
+    inside = check_segments(segments, length_of(n) if isinstance(n, DataFrame) else n)
+    return inside.select("seg", F.greatest(F.col("e") - F.col("s"), F.lit(1)).cast("bigint").alias("count"))
 
 
 def segmented_mean(series: DataFrame, segments: DataFrame, value: str = "x", *, bucket: int = BUCKET) -> DataFrame:
@@ -68,7 +78,7 @@ def segmented_argmin(series: DataFrame, segments: DataFrame, value: str = "x", *
 
 def segmented_where(series: DataFrame, segments: DataFrame, wanted: str = "want", value: str = "x", *, bucket: int = BUCKET) -> DataFrame:
     """(seg, places): ordered places where the value equals the segment's ``wanted``; an empty array for none."""
-    rows = bucketed_range_join(segments.select("seg", "s", "e", wanted), series, bucket=bucket)
+    rows = _rows(series, segments, bucket, wanted)
     hits = rows.where(F.col(value) == F.col(wanted)).groupBy("seg").agg(F.sort_array(F.collect_list("i")).alias("places"))
     return segments.select("seg").join(hits, "seg", "left").select("seg", F.coalesce("places", F.array().cast("array<bigint>")).alias("places"))
 
@@ -76,9 +86,12 @@ def segmented_where(series: DataFrame, segments: DataFrame, wanted: str = "want"
 def reduceat(series: DataFrame, starts: DataFrame, value: str = "x", *, largest: bool = True, bucket: int = BUCKET) -> DataFrame:
     """Arg-extreme of consecutive segments given by their starts (seg, s): each ends where the next begins, the last at
     the series' end; one that ends before it begins takes its start."""
-    from pyspark.sql import Window
-
-    n = series.agg((F.max("i") + 1).alias("n"))
-    ends = F.coalesce(F.lead("s").over(Window.orderBy("seg")), F.col("n"))  # one row a segment
-    segments = starts.join(F.broadcast(n)).withColumn("e", F.greatest(ends, F.col("s"))).select("seg", "s", "e")
+    block = F.floor(F.col("seg") / STARTS_A_BLOCK)
+    own = Window.partitionBy("__block").orderBy("seg")
+    blocks = starts.groupBy(block.alias("__block")).agg(F.min_by("s", "seg").alias("__s"))  # one row for so many starts
+    following = blocks.select("__block", F.lead("__s").over(Window.orderBy("__block")).alias("__next"))
+    rows = starts.withColumn("__block", block).join(following, "__block")
+    n = length_of(series)
+    ends = F.coalesce(F.lead("s").over(own), "__next", n)
+    segments = rows.withColumn("e", F.greatest(ends, F.col("s"))).select("seg", "s", "e")
     return (segmented_argmax if largest else segmented_argmin)(series, segments, value, bucket=bucket)

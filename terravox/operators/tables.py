@@ -53,10 +53,13 @@ def set_timestamps(df: DataFrame, value: Column, ts: str = "ts_ns") -> DataFrame
     return df.withColumn(ts, value.cast("bigint"))
 
 
-def align_timestamps(base: DataFrame, probes: DataFrame, *, ts: str = "ts_ns", by: list[str], idx: str = "idx", probe_id: str = "probe") -> DataFrame:
-    """(by, probe, ts, matched idx, matched ts): for each probe the base row nearest in time, the later of two equals."""
+def align_timestamps(base: DataFrame, probes: DataFrame, *, ts: str = "ts_ns", by: list[str], idx: str = "idx", probe_id: str = "probe", span: float | None = None) -> DataFrame:
+    """(by, probe, ts, matched idx, matched ts): for each probe the base row nearest in time, the later of two equals.
+
+    ``span``: time that one task sweeps at once of an entity; give it where an entity may have very many rows.
+    """
     matched = base.withColumn("__mts", F.col(ts))
-    found = nearest_asof(probes, matched, time=ts, by=by, tie=idx, probe_id=probe_id, base_columns=[idx, "__mts"])
+    found = nearest_asof(probes, matched, time=ts, by=by, tie=idx, probe_id=probe_id, base_columns=[idx, "__mts"], span=span)
     return found.withColumnRenamed("__mts", f"matched_{ts}")
 
 

@@ -55,13 +55,19 @@ def voxel_number(points: DataFrame, size, xyz: Sequence[str] = XYZ) -> DataFrame
 def voxel_order(points: DataFrame, size, *, idx: str = "idx", xyz: Sequence[str] = XYZ) -> DataFrame:
     """(idx, position): the rank of each point in the order of voxels, then idx.
 
-    Positions are a prefix sum of voxel counts plus the rank within the voxel, so only voxels are ordered globally.
+    Positions are prefix sums of counts, axis by axis: slabs of one vx are added up over the whole table, columns of one
+    vy within their slab, voxels within their column, points within their voxel; so no task orders more than one of these.
     """
     keyed = with_voxels(points, size, xyz)
-    counts = keyed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    base = F.sum("n").over(Window.orderBy(*KEYS)) - F.col("n")
+    counts, base = keyed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("__n")), None
+    for n in range(len(KEYS)):
+        above, own = KEYS[:n], KEYS[: n + 1]
+        here = counts.groupBy(*own).agg(F.sum("__n").alias("__n"))
+        upto = F.sum("__n").over(Window.partitionBy(*above).orderBy(KEYS[n])) - F.col("__n")
+        here = here.select(*own, upto.alias("__here"))
+        base = here.withColumnRenamed("__here", "__base") if base is None else here.join(base, above).select(*own, (F.col("__base") + F.col("__here")).alias("__base"))
     within = F.row_number().over(Window.partitionBy(*KEYS).orderBy(idx)) - 1
-    return keyed.withColumn("__within", within).join(counts.select(*KEYS, base.alias("__base")), KEYS).select(idx, (F.col("__base") + F.col("__within")).alias("position"))
+    return keyed.withColumn("__within", within).join(base, KEYS).select(idx, (F.col("__base") + F.col("__within")).alias("position"))
 
 
 def floor_keys(size, xyz: Sequence[str] = XYZ) -> list[Column]:

@@ -81,7 +81,19 @@ def group_sizes(df: DataFrame, label: str, name: str = "group_size") -> DataFram
 
 
 def grouped_softmax(df: DataFrame, logit: str, by: list[str], name: str = "softmax") -> DataFrame:
-    """exp(x - max) by the sum of that in the group plus 1e-12."""
-    w = Window.partitionBy(*by)
-    shifted = df.withColumn("__e", F.exp(F.col(logit) - F.max(logit).over(w)))
-    return shifted.withColumn(name, F.col("__e") / (F.sum("__e").over(w) + F.lit(1e-12))).drop("__e")
+    """exp(x - max) by the sum of that in the group plus 1e-12.
+
+    Maximum and sum are aggregated by group and joined back, so that a large group is never held together.
+    """
+    x, names = F.col(logit), {c: f"__k{n}" for n, c in enumerate(by)}
+
+    def joined(rows: DataFrame, found: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for c, k in names.items():
+            same &= rows[c].eqNullSafe(found[k])
+        return rows.join(found, same).drop(*names.values())
+
+    keys = [F.col(c).alias(k) for c, k in names.items()]
+    shifted = joined(df, df.groupBy(*keys).agg(F.max(x).alias("__max"))).withColumn("__e", F.exp(x - F.col("__max"))).drop("__max")
+    sums = shifted.groupBy(*keys).agg(F.sum("__e").alias("__sum"))
+    return joined(shifted, sums).withColumn(name, F.col("__e") / (F.col("__sum") + F.lit(1e-12))).drop("__e", "__sum")

@@ -44,26 +44,42 @@ def bucketed_range_join(segments: DataFrame, rows: DataFrame, *, bucket: int, st
     return joined.drop("__block", "__last")
 
 
-def nearest_asof(probes: DataFrame, base: DataFrame, *, time: str, by: list[str], tie: str, probe_id: str, base_columns: list[str]) -> DataFrame:
+def nearest_asof(probes: DataFrame, base: DataFrame, *, time: str, by: list[str], tie: str, probe_id: str, base_columns: list[str], span: float | None = None) -> DataFrame:
     """Each probe with the base row nearest in time within ``by``; the later row wins a tie.
 
-    Both sides are unioned and swept once per entity by two windows: the last base row before a probe and the
-    first one at or after it.  Output: by, probe_id, time, then base_columns (null without a base row).
+    Both sides are unioned and swept once per entity by two running windows, one in each direction: the last base row
+    before a probe and the first one at or after it; the cost is linear in an entity's rows.  With ``span`` an entity is
+    cut into ranges of so much time, each swept on its own; what lies nearest before and after a range is carried over
+    from one row a range, so that a frequent entity is no single task.  Output: by, probe_id, time, then base_columns
+    (null without a base row).
     """
     payload = F.struct(F.col(time).alias("__t"), *[F.col(c).alias(c) for c in base_columns])
     none = F.lit(None)
     b = base.select(*by, F.col(time).alias("__time"), F.col(tie).cast("long").alias("__tie"), F.lit(1).alias("__kind"), none.cast("long").alias("__probe"), payload.alias("__row"))
     p = probes.select(*by, F.col(time).alias("__time"), F.col(probe_id).cast("long").alias("__tie"), F.lit(0).alias("__kind"), F.col(probe_id).cast("long").alias("__probe"))
     both = b.unionByName(p, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("__time", "__kind", "__tie")
-    swept = both.select(
-        *by,
-        "__time",
-        "__kind",
-        "__probe",
-        F.last("__row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.first("__row", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
-    ).where("__kind = 0")
+    keys = [*by, "__range"] if span is not None else by
+    if span is not None:
+        both = both.withColumn("__range", F.floor(F.col("__time") / positive("span", span)))
+    order = ["__time", "__kind", "__tie"]
+    so_far = (Window.unboundedPreceding, -1)
+    up = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*so_far)
+    down = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(*so_far)
+    latest = F.last("__row", ignorenulls=True)
+    swept = both.select("*", latest.over(up).alias("__before"), latest.over(down).alias("__after")).where("__kind = 0")
+    if span is not None:
+        at = F.when(F.col("__kind") == 1, F.struct("__time", "__tie"))
+        edges = both.groupBy(*keys).agg(F.max_by("__row", at).alias("__last"), F.min_by("__row", at).alias("__first"))
+        ranges = lambda by_range: Window.partitionBy(*by).orderBy(by_range).rowsBetween(*so_far)
+        carried = edges.select(
+            *[F.col(c).alias(f"__k{n}") for n, c in enumerate(keys)],
+            F.last("__last", ignorenulls=True).over(ranges("__range")).alias("__earlier"),
+            F.last("__first", ignorenulls=True).over(ranges(F.desc("__range"))).alias("__later"),
+        )
+        same = F.lit(True)
+        for n, c in enumerate(keys):
+            same &= swept[c].eqNullSafe(carried[f"__k{n}"])
+        swept = swept.join(carried, same).withColumns({"__before": F.coalesce("__before", "__earlier"), "__after": F.coalesce("__after", "__later")})
     earlier = F.col("__after").isNull() | (F.col("__before").isNotNull() & ((F.col("__time") - F.col("__before.__t")) < (F.col("__after.__t") - F.col("__time"))))
     chosen = F.when(earlier, F.col("__before")).otherwise(F.col("__after"))
     out = swept.withColumn("__chosen", chosen)

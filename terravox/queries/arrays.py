@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 @query("segmented_sum", f"WITH g AS ({made_sql()}) SELECT g.seg, round(sum(r.x), 6) + 0.0 AS sum FROM g {ROWS_OF} GROUP BY g.seg")
 def _(spark, d):
-    return segments.segmented_sum(series(spark, d), segments.check_segments(made(spark, d), table(spark, d, "events").count())).select("seg", *r6("sum"))
+    return segments.segmented_sum(series(spark, d), made(spark, d)).select("seg", *r6("sum"))
 
 
 @query("segmented_mean", f"WITH g AS ({made_sql()}) SELECT g.seg, round(avg(r.x), 9) + 0.0 AS mean FROM g {ROWS_OF} GROUP BY g.seg")
@@ -35,7 +35,7 @@ def _(spark, d):
 
 @query("segmented_count", f"WITH g AS ({made_sql(7)}) SELECT seg, CAST(greatest(e - s, 1) AS BIGINT) AS count FROM g")
 def _(spark, d):
-    return segments.segmented_count(made(spark, d, 7))
+    return segments.segmented_count(made(spark, d, 7), series(spark, d))
 
 
 def _extreme(largest: bool, columns: str) -> str:

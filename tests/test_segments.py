@@ -19,7 +19,7 @@ def column(df, name, by="seg"):
 def test_disjoint(spark):
     x, g = series(spark, [1, 2, 3, 4, 5]), cut(spark, [0, 3], [3, 5])
     assert column(segments.segmented_sum(x, g), "sum") == [6, 9]
-    assert column(segments.segmented_count(g), "count") == [3, 2]
+    assert column(segments.segmented_count(g, x), "count") == [3, 2]
     assert column(segments.segmented_mean(x, g), "mean") == [2, 4.5]
 
 
@@ -40,14 +40,34 @@ def test_overlapping_with_ties(spark):
 
 def test_empty_segment_takes_its_start(spark):
     x, g = series(spark, [1, 2, 4, 8]), cut(spark, [0, 1, 2], [1, 1, 4])
-    assert column(segments.segmented_count(g), "count") == [1, 1, 2]
+    assert column(segments.segmented_count(g, 4), "count") == [1, 1, 2]
     assert column(segments.segmented_sum(x, g), "sum") == [1, 2, 12]
 
 
-def test_segments_outside_are_an_error(spark):
-    x, g = series(spark, [1, 2, 3]), cut(spark, [0], [4])
+@pytest.mark.parametrize(("start", "end"), [(0, 4), (3, 3), (-1, 2), (2, 1), (5, 9)])
+def test_segments_outside_are_an_error(spark, start, end):
+    x, g = series(spark, [1, 2, 3]), cut(spark, [0, start], [2, end])
+    wanted = g.withColumn("want", segments.F.lit(1))
+    for f in (segments.segmented_sum, segments.segmented_mean, segments.segmented_max, segments.segmented_min, segments.segmented_argmax, segments.segmented_argmin):
+        with pytest.raises(PySparkException):
+            f(x, g).collect()
     with pytest.raises(PySparkException):
-        segments.segmented_sum(x, segments.check_segments(g, 3)).collect()
+        segments.segmented_where(x, wanted).collect()
+    for n in (x, 3):
+        with pytest.raises(PySparkException):
+            segments.segmented_count(g, n).collect()
+
+
+def test_reduceat_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(segments, "STARTS_A_BLOCK", 3)
+    x = series(spark, [(7 * i) % 11 for i in range(40)])
+    places = [0, 3, 3, 10, 9, 20, 21, 39]
+    starts = spark.createDataFrame([(2 * k, s) for k, s in enumerate(places)], "seg long, s long")
+    want = []
+    for s, e in zip(places, [*places[1:], 40]):
+        own = range(s, max(e, s + 1))
+        want.append(max(own, key=lambda i: ((7 * i) % 11, -i)))
+    assert column(segments.reduceat(x, starts), "at") == want
 
 
 def test_reduceat(spark):

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terravox.functions import geometry as G
 from terravox.functions import scalar as S
-from terravox.operators import align, attention, camera, generators, images, parameters, sampling, sparse, tables, voxels
+from terravox.operators import align, attention, camera, generators, images, parameters, sampling, sparse, tables, voxels, windows
 from terravox.plans.physical import floor_div, literal_rows
 
 
@@ -241,3 +242,50 @@ def test_parameter_tree(spark):
 
 def test_literal_rows(spark):
     assert rows(literal_rows(spark, [(1, "a"), (2, "b")], "n int, s string"), "n") == [(1, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize("span", [None, 5, 1000])
+def test_nearest_asof_equals_brute_force(spark, span):
+    draw = random.Random(3)
+    base = [(draw.choice(["a", "b", None]), i, draw.randint(0, 60)) for i in range(50)]
+    probes = [(draw.choice(["a", "b", "c", None]), i, draw.randint(-20, 90)) for i in range(80)]
+    b = spark.createDataFrame(base, "k string, idx long, ts_ns long")
+    p = spark.createDataFrame(probes, "k string, probe long, ts_ns long")
+    got = {r["probe"]: r["matched_ts_ns"] for r in tables.align_timestamps(b, p, by=["k"], span=span).collect()}
+    for k, i, t in probes:
+        own = [x for key, _, x in base if key == k]
+        assert got[i] == (min(own, key=lambda x: (abs(x - t), -x)) if own else None)
+
+
+def test_long_entities_align_in_linear_time(spark):
+    n = 20_000
+    b = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("idx"), (F.col("id") * 10).alias("ts_ns"))
+    p = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("probe"), (F.col("id") * 10 + 4).alias("ts_ns"))
+    began = time.perf_counter()
+    assert tables.align_timestamps(b, p, by=["k"]).where("idx = probe").count() == n
+    assert time.perf_counter() - began < 20
+
+
+def test_points_that_are_not_finite_have_no_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(align, "ALL_PAIRS_ROWS", 1)
+    bad = [(7, math.nan, 0.0, 0.0), (8, math.inf, 0.0, 0.0), (9, None, 0.0, 0.0)]
+    src = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 5.0, 5.0, 5.0), *bad], "i long, x double, y double, z double")
+    dst = spark.createDataFrame([(0, 0.1, 0.0, 0.0), (1, 4.0, 5.0, 5.0), *bad], "j long, x double, y double, z double")
+    for radius in (math.inf, 2.0):
+        got = align.nearest_neighbors(src, dst, radius=radius).collect()
+        assert sorted((r["i"], r["j"]) for r in got) == [(0, 0), (1, 1)]
+    assert align.nearest_neighbors(src.where("i > 6"), dst).count() == 0
+
+
+def test_softmax_of_groups_with_null_keys(spark):
+    rows = [("a", 1.0), ("a", 3.0), (None, 2.0), (None, 2.0), ("b", 1000.0)]
+    got = windows.grouped_softmax(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()
+    want = {("a", 1.0): 1 / (1 + math.exp(2)), ("a", 3.0): 1 / (1 + math.exp(-2)), (None, 2.0): 0.5, ("b", 1000.0): 1.0}
+    assert len(got) == 5 and all(abs(r["softmax"] - want[r["k"], r["v"]]) < 1e-9 for r in got)
+
+
+def test_voxel_order_equals_a_sort(spark):
+    draw = random.Random(2)
+    rows = [(i, draw.randint(-3, 3) + 0.5, draw.randint(-2, 2) + 0.5, draw.randint(-2, 2) + 0.5) for i in range(200)]
+    got = {r["idx"]: r["position"] for r in voxels.voxel_order(spark.createDataFrame(rows, "idx long, x double, y double, z double"), 1.0).collect()}
+    assert [got[i] for i, *_ in sorted(rows, key=lambda r: (r[1:], r[0]))] == list(range(200))
