@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import scalar as S
 from ..operators import moments, sampling, segments, tables, windows
@@ -61,11 +62,20 @@ def _(spark, d):
     return found.select("seg", F.explode("places").alias("at"))
 
 
-@query("reduceat_argmax", "WITH s AS (SELECT p_partkey AS seg, (p_partkey * 37) % n AS s, n FROM part, (SELECT count(*) AS n FROM events)), g AS (SELECT seg, s, greatest(coalesce(lead(s) OVER (ORDER BY seg), n), s) AS e FROM s), o AS (SELECT g.seg, r.i AS \"at\", row_number() OVER (PARTITION BY g.seg ORDER BY r.x DESC, r.i) AS n FROM g " + ROWS_OF + ") SELECT seg, \"at\" FROM o WHERE n = 1")
+def _reduceat(order: str) -> str:
+    return "WITH s AS (SELECT p_partkey AS seg, (p_partkey * 37) % n AS s, n FROM part, (SELECT count(*) AS n FROM events)), g AS (SELECT seg, s, greatest(coalesce(lead(s) OVER (ORDER BY seg), n), s) AS e FROM s), o AS (SELECT g.seg, r.i AS \"at\", row_number() OVER (PARTITION BY g.seg ORDER BY " + order + ") AS n FROM g " + ROWS_OF + ") SELECT seg, \"at\" FROM o WHERE n = 1"
+
+
+@query("reduceat_argmax", _reduceat("r.x DESC, r.i"))
 def _(spark, d):
     return segments.reduceat(series(spark, d), made(spark, d).select("seg", "s"))
 
 
+@query("reduceat_argmin", _reduceat("r.x, r.i"))
+def _(spark, d):
+    return segments.reduceat(series(spark, d), made(spark, d).select("seg", "s"), largest=False)
+
+
 _BY_USER = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
 _SLIDING = {"sum": "sum(value)", "count": "count(value)", "mean": "avg(value)", "max": "max(value)", "min": "min(value)"}
 for _name in windows.METHODS:
@@ -189,9 +199,59 @@ def _(spark, d):
     return sampling.keyframes(table(spark, d, "events"), by=["user_id"], order=["ts", "event_id"], idx="event_id", xyz=("value",), min_distance=100)
 
 
-@query("random_labels")
+@query("random_labels", "WITH k AS (SELECT c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS place, count(*) AS n FROM customer GROUP BY c_mktsegment) SELECT c_mktsegment, n, CAST(1 AS BIGINT) AS codes, (SELECT count(*) FROM k) AS labels, (SELECT sum(place) FROM k)::BIGINT AS total FROM k")
+def _(spark, d):
+    """Which label gets which number is random; that the numbers are 0 .. k - 1 and one a label is not."""
+    got = sampling.randomize_labels(table(spark, d, "customer"), "c_mktsegment", seed=5)
+    each = got.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("random_label").alias("codes"))
+    whole = got.select("random_label").distinct().agg(F.count(F.lit(1)).alias("labels"), F.sum("random_label").cast("bigint").alias("total"))
+    return each.join(F.broadcast(whole))
+
+
+@query("allocated_rows", "SELECT CAST(i AS BIGINT) AS idx, CAST(NULL AS DOUBLE) AS x FROM range((SELECT count(*) FROM region)) t(i)")
+def _(spark, d):
+    n = tables.length(table(spark, d, "region"))
+    return tables.allocate(spark, n, StructType([StructField("idx", LongType()), StructField("x", DoubleType())]))
+
+
+@query("row_index", "SELECT event_id FROM events")
+def _(spark, d):
+    return tables.index(table(spark, d, "events"), "event_id")
+
+
+@query("timestamps_set", "SELECT event_id, epoch_us(ts) * 1000 + event_id AS ts_ns FROM events")
+def _(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(0).cast("bigint").alias("ts_ns"))
+    return tables.set_timestamps(rows, F.col("us") * 1000 + F.col("event_id")).select("event_id", "ts_ns")
+
+
+def _poses(spark, d):
+    """Poses with places from the first three slots of the embeddings, and unit quaternions from the next four."""
+    e = lambda i: F.col("embedding")[i].cast("double")
+    norm = F.sqrt(sum((e(i) * e(i) for i in range(4, 7)), e(3) * e(3)))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), *[e(i).alias(c) for i, c in enumerate("xyz")], *[(e(i + 3) / norm).alias(c) for i, c in enumerate(tables.QUATERNION)])
+
+
+_POSES = "SELECT vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) / n AS qx, CAST(embedding[5] AS DOUBLE) / n AS qy, CAST(embedding[6] AS DOUBLE) / n AS qz, CAST(embedding[7] AS DOUBLE) / n AS qw FROM (SELECT *, sqrt(list_sum([CAST(v AS DOUBLE) * CAST(v AS DOUBLE) FOR v IN embedding[4:7]])) AS n FROM embeddings)"
+
+
+@query("pose_parts", f"SELECT idx, round(x, 6) + 0.0 AS x, round(z, 6) + 0.0 AS z, round(qx, 6) + 0.0 AS qx, round(qw, 6) + 0.0 AS qw FROM ({_POSES})")
+def _(spark, d):
+    p = tables.quaternion(tables.xyz(_poses(spark, d)))
+    return p.select("idx", F.col("xyz")[0].alias("x"), F.col("xyz")[2].alias("z"), F.col("quaternion")[0].alias("qx"), F.col("quaternion")[3].alias("qw")).select("idx", *r6("x", "z", "qx", "qw"))
+
+
+@query("pose_set", f"SELECT idx, round(z, 6) + 0.0 AS x, round(x, 6) + 0.0 AS z, round(qw, 6) + 0.0 AS qx, round(qx, 6) + 0.0 AS qw FROM ({_POSES})")
+def _(spark, d):
+    turned = tables.set_xyz(_poses(spark, d), F.array("z", "y", "x"))
+    return tables.set_quaternion(turned, F.array("qw", "qz", "qy", "qx")).select("idx", *r6("x", "z", "qx", "qw"))
+
+
+@query("pose_transformation", f"SELECT idx, round(1 - 2 * (qy * qy + qz * qz), 6) + 0.0 AS m00, round(2 * (qx * qy - qz * qw), 6) + 0.0 AS m01, round(x, 6) + 0.0 AS m03, round(2 * (qy * qz - qx * qw), 6) + 0.0 AS m12, round(z, 6) + 0.0 AS m23, CAST(1 AS DOUBLE) AS m33 FROM ({_POSES})")
 def _(spark, d):
-    return sampling.randomize_labels(table(spark, d, "customer"), "c_mktsegment", seed=5).select("c_mktsegment", "random_label").distinct()
+    at = tables.transformation(_poses(spark, d))
+    cells = [(0, 0), (0, 1), (0, 3), (1, 2), (2, 3), (3, 3)]
+    return at.select("idx", *[F.col("transformation")[i][j].alias(f"m{i}{j}") for i, j in cells]).select("idx", *r6(*[f"m{i}{j}" for i, j in cells]))
 
 
 @query("mean_var_merge", "SELECT event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(var_pop(value), 6) + 0.0 AS var FROM events GROUP BY event_type")

@@ -8,18 +8,20 @@ get ``row`` and ``col``.  Option ``columns`` limits what is decoded.  ``df.write
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions import scalar as S
-from .headers import files_of, is_local, local, open_read, write_whole
+from .headers import delete, exists, files_of, move, open_read, write_whole
 from .lzf import decompress
 
 #: Rows of a binary file that one task reads.
@@ -148,7 +150,7 @@ class PcdReader(DataSourceReader):
             header = read_header(f)
             step = ROWS_A_TASK if header.data == "binary" else max(1, header.points)
             out += [Piece(f, a, min(header.points, a + step)) for a in range(0, header.points, step)]
-        return out
+        return out or [Piece(self.files[0], 0, 0)]
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -166,6 +168,7 @@ class PcdReader(DataSourceReader):
 @dataclass
 class Written(WriterCommitMessage):
     path: str
+    staged: str
     rows: int
 
 
@@ -173,37 +176,72 @@ class Written(WriterCommitMessage):
 OUT = {"float": ("F", 4, "<f4"), "double": ("F", 8, "<f8"), "tinyint": ("I", 1, "<i1"), "smallint": ("I", 2, "<i2"), "int": ("I", 4, "<i4"), "bigint": ("I", 8, "<i8")}
 
 
-def encode(names: list[str], kinds: list[str], rows: list[tuple]) -> bytes:
-    """A binary file of the rows; array columns must all have the first row's length."""
-    fields, counts = [], []
-    for i, (n, k) in enumerate(zip(names, kinds)):
-        base = k[6:-1] if k.startswith("array<") else k
-        if base not in OUT:
-            raise ValueError(f"column {n}: {k} has no place in a PCD file")
-        counts.append(len(rows[0][i]) if k.startswith("array<") and rows else 1)
-        fields.append((n, *OUT[base]))
-    dtype = np.dtype([(n, t) if c == 1 else (n, t, (c,)) for (n, _, _, t), c in zip(fields, counts)])
-    body = np.zeros(len(rows), dtype)
-    for i, n in enumerate(names):
-        values = [r[i] for r in rows]
-        body[n] = [v[0] for v in values] if counts[i] == 1 and kinds[i].startswith("array<") else values
-    lines = ["# .PCD v.7 - Point Cloud Data file format", "VERSION .7", "FIELDS " + " ".join(names), "SIZE " + " ".join(str(f[2]) for f in fields), "TYPE " + " ".join(f[1] for f in fields)]
-    lines += ["COUNT " + " ".join(map(str, counts)), f"WIDTH {len(rows)}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {len(rows)}", "DATA binary"]
-    return ("\n".join(lines) + "\n").encode() + body.tobytes()
-
-
-class PcdWriter(DataSourceWriter):
-    def __init__(self, path: str, schema: T.StructType):
-        self.path, self.names, self.kinds = path, schema.names, [f.dataType.simpleString() for f in schema]
-
-    def write(self, iterator) -> Written:
+def header_of(names: list[str], kinds: list[str], counts: list[int], rows: int) -> str:
+    """The head of a binary file; array columns have as many components as ``counts`` says."""
+    lines = ["# .PCD v.7 - Point Cloud Data file format", "VERSION .7", "FIELDS " + " ".join(names)]
+    lines += ["SIZE " + " ".join(str(OUT[k][1]) for k in kinds), "TYPE " + " ".join(OUT[k][0] for k in kinds), "COUNT " + " ".join(map(str, counts))]
+    lines += [f"WIDTH {rows}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {rows}", "DATA binary"]
+    return "\n".join(lines) + "\n"
+
+
+class PcdWriter(DataSourceArrowWriter):
+    """Each task writes a file under a name of its own that readers don't see; ``commit`` gives the files of all tasks
+    their names, after the old ones have gone where they are to be overwritten; ``abort`` deletes them."""
+
+    def __init__(self, path: str, schema: T.StructType, overwrite: bool):
+        self.path, self.names, self.overwrite, self.job = path.rstrip("/"), schema.names, overwrite, uuid.uuid4().hex
+        kinds = [f.dataType.simpleString() for f in schema]
+        self.arrays, self.kinds = [k.startswith("array<") for k in kinds], [k[6:-1] if k.startswith("array<") else k for k in kinds]
+        for n, k, whole in zip(self.names, self.kinds, kinds):
+            if k not in OUT:
+                raise ValueError(f"column {n}: {whole} has no place in a PCD file")
+
+    def body(self, batch: pa.RecordBatch, counts: list[int]) -> bytes:
+        fields = [(n, OUT[k][2]) if c == 1 else (n, OUT[k][2], (c,)) for n, k, c in zip(self.names, self.kinds, counts)]
+        out = np.zeros(len(batch), np.dtype(fields))
+        for n, k, c, is_array in zip(self.names, self.kinds, counts, self.arrays):
+            column = batch[n]
+            if is_array:
+                if any(v != c for v in pc.list_value_length(column).to_pylist()):
+                    raise ValueError(f"column {n}: arrays differ in length")
+                column = pc.list_flatten(column)
+            if column.null_count and OUT[k][0] != "F":
+                raise ValueError(f"column {n}: a null has no place in a PCD file")
+            values = column.to_numpy(zero_copy_only=False)  # nulls of floats are NaN
+            out[n] = values.reshape(len(batch), c) if is_array and c > 1 else values
+        return out.tobytes()
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        rows = [tuple(r) for r in iterator]
-        name = f"{self.path.rstrip('/')}/part-{TaskContext.get().partitionId():05d}.pcd"
+        parts, counts, rows = [], [1] * len(self.names), 0
+        for batch in iterator:
+            if not len(batch):
+                continue
+            if not parts:
+                counts = [len(batch[n][0]) if is_array else 1 for n, is_array in zip(self.names, self.arrays)]
+            parts.append(self.body(batch, counts))
+            rows += len(batch)
+        name = f"{self.path}/part-{TaskContext.get().partitionId():05d}-{self.job}.pcd"
+        staged = f"{name}.{uuid.uuid4().hex}.staged"
         if rows:
-            write_whole(name, encode(self.names, self.kinds, rows))
-        return Written(name, len(rows))
+            write_whole(staged, header_of(self.names, self.kinds, counts, rows).encode() + b"".join(parts))
+        return Written(name, staged, rows)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        new = [m for m in messages if m is not None and m.rows]
+        old = files_of(self.path, ".pcd") if self.overwrite and exists(self.path) else []
+        for m in new:
+            move(m.staged, m.path)
+        for f in old:
+            delete(f)
+        if not new and (self.overwrite or not exists(self.path) or not files_of(self.path, ".pcd")):
+            write_whole(f"{self.path}/part-00000-{self.job}.pcd", header_of(self.names, self.kinds, [1] * len(self.names), 0).encode())  # an empty table
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            if m is not None and m.rows:
+                delete(m.staged)
 
 
 class PcdSource(DataSource):
@@ -220,14 +258,7 @@ class PcdSource(DataSource):
         return PcdReader(self.options["path"], schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> PcdWriter:
-        path = self.options["path"]
-        if overwrite and is_local(path):
-            import glob
-            import os
-
-            for f in glob.glob(f"{local(path)}/part-*.pcd"):
-                os.remove(f)
-        return PcdWriter(path, schema)
+        return PcdWriter(self.options["path"], schema, overwrite)
 
 
 def cloud_compare(points: DataFrame, intensity: str | None = None, *, low: float | None = None, high: float | None = None, color_map=None, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
@@ -240,9 +271,9 @@ def cloud_compare(points: DataFrame, intensity: str | None = None, *, low: float
         low, high = ends["a"] if low is None else low, ends["b"] if high is None else high
     packed = S.packed_rgb(*S.color_of(F.col(intensity), low, high, color_map))
 
-    def bits(batches):
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in batches:
-            at["rgb"] = at["rgb"].to_numpy("int64").astype("<u4").view("<f4")
-            yield at
+            whole = at["rgb"].to_numpy(zero_copy_only=False).astype("<u4")  # bytes of a NaN, if red is 128 or more: they stay as they are
+            yield pa.RecordBatch.from_arrays([*at.columns[:3], pa.Array.from_buffers(pa.float32(), len(at), [None, pa.py_buffer(whole.tobytes())])], ["x", "y", "z", "rgb"])
 
-    return points.select(*base, packed.alias("rgb")).mapInPandas(bits, "x float, y float, z float, rgb float")
+    return points.select(*base, packed.alias("rgb")).mapInArrow(bits, "x float, y float, z float, rgb float")

@@ -7,16 +7,19 @@ element that is a list (faces) gives ``tri``: each polygon as triangles that sha
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .headers import files_of, open_read, write_whole
+from .headers import delete, delete_folder, files_of, join_files, open_read, write_whole
 from .pcd import BATCH, arrow
 
 #: Property type to array type.
@@ -24,7 +27,7 @@ TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4"
 #: Array type to column type.
 COLUMNS = {"i1": T.ByteType(), "u1": T.ShortType(), "i2": T.ShortType(), "u2": T.IntegerType(), "i4": T.IntegerType(), "u4": T.LongType(), "f4": T.FloatType(), "f8": T.DoubleType()}
 #: Column type to property type of written files.
-WRITTEN = {"tinyint": "char", "smallint": "short", "int": "int", "float": "float", "double": "double"}
+COLUMN_TYPES = {"tinyint": "char", "smallint": "short", "int": "int", "bigint": "uint", "float": "float", "double": "double"}
 
 
 @dataclass
@@ -162,30 +165,85 @@ class PlySource(DataSource):
         return PlyReader(self.options["path"], self.options.get("element", "vertex"), schema)
 
 
-def _plain(name: str, df: DataFrame, order: str | None) -> tuple[list[str], bytes]:
-    """Header lines and body of an element; rows in order. A mesh file is one file, so its rows pass the driver."""
+#: Range of the unsigned property types.
+UNSIGNED = {"uchar": 255, "ushort": 65_535, "uint": 4_294_967_295}
+
+
+def _staged(rows: DataFrame, encode, folder: str) -> list[tuple[int, int]]:
+    """(part, rows) of files that the tasks have written into ``folder``, one a partition, in order."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, body = TaskContext.get().partitionId(), 0, []
+        for at in batches:
+            if len(at):
+                body.append(encode(at))
+                n += len(at)
+        if n:
+            write_whole(f"{folder}/{part:06d}.staged", b"".join(body))
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n": pa.array([n], pa.int64())})
+
+    return sorted((r["part"], r["n"]) for r in rows.mapInArrow(write, "part long, n long").collect())  # one row a partition
+
+
+def _plain(name: str, df: DataFrame, order: str | None, types: dict[str, str], folder: str) -> tuple[list[str], list[str]]:
+    """Header lines of an element, and the files of its body."""
     rows = df.orderBy(order).drop(order) if order else df
-    lines, types = [], []
+    properties = []
     for c, k in rows.dtypes:
-        if k not in WRITTEN:
+        if k not in COLUMN_TYPES:
             raise ValueError(f"column {c}: {k} has no place in a PLY file")
-        lines.append(f"property {WRITTEN[k]} {c}")
-        types.append((c, "<" + TYPES[WRITTEN[k]]))
-    out = [np.array([tuple(r)], types).tobytes() for r in rows.toLocalIterator()]
-    return [f"element {name} {len(out)}", *lines], b"".join(out)
-
-
-def write_ply(path: str, vertex: DataFrame, face: DataFrame | None = None, edge: DataFrame | None = None, *, comment: str = "", order: str | None = None) -> None:
+        properties.append((c, types.get(c, COLUMN_TYPES[k])))
+    kinds = [(c, "<" + TYPES[p]) for c, p in properties]
+
+    def encode(at: pa.RecordBatch) -> bytes:
+        out = np.zeros(len(at), kinds)
+        for c, p in properties:
+            values = at[c].to_numpy(zero_copy_only=False)
+            if p in UNSIGNED and len(values) and not (values.min() >= 0 and values.max() <= UNSIGNED[p]):
+                raise ValueError(f"column {c}: a value is no {p}")
+            out[c] = values
+        return out.tobytes()
+
+    parts = _staged(rows, encode, f"{folder}/{name}")
+    return [f"element {name} {sum(n for _, n in parts)}", *[f"property {p} {c}" for c, p in properties]], [f"{folder}/{name}/{k:06d}.staged" for k, _ in parts]
+
+
+def _face_bytes(at: pa.RecordBatch) -> bytes:
+    lengths = pc.list_value_length(at.column(0)).to_numpy(zero_copy_only=False)
+    corners = pc.list_flatten(at.column(0)).to_numpy().astype("<i4")
+    if len(set(lengths.tolist())) == 1:
+        n = int(lengths[0])
+        out = np.zeros(len(at), [("n", "u1"), ("c", "<i4", (n,))])
+        out["n"], out["c"] = n, corners.reshape(-1, n)
+        return out.tobytes()
+    ends = np.cumsum(lengths)
+    return b"".join(struct.pack("<B", n) + corners[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist()))
+
+
+def write_ply(path: str, vertex: DataFrame, face: DataFrame | None = None, edge: DataFrame | None = None, *, comment: str = "", order: str | None = None, types: dict[str, str] | None = None) -> None:
     """One binary little-endian file. ``face`` has one array column of up to 255 corners; ``order`` names a column of
-    each table that orders its rows and is left out."""
-    head, body = _plain("vertex", vertex, order)
+    each table that orders its rows and is left out; ``types`` gives columns a property type, such as uchar for colours.
+
+    Tasks encode the rows into files beside the target; one task joins them, and the target appears whole.
+    """
+    spark, folder, types = vertex.sparkSession, f"{path}.{uuid.uuid4().hex}.parts", types or {}
+    head, files = _plain("vertex", vertex, order, types, folder)
     lines = ["ply", "format binary_little_endian 1.0", *[f"comment {c}" for c in comment.split("\n") if comment], *head]
     if face is not None:
         rows = face.orderBy(order).drop(order) if order else face
-        faces = [list(r[0]) for r in rows.toLocalIterator()]
-        lines += [f"element face {len(faces)}", "property list uchar int vertex_index"]
-        body += b"".join(struct.pack(f"<B{len(f)}i", len(f), *f) for f in faces)
+        parts = _staged(rows, _face_bytes, f"{folder}/face")
+        lines += [f"element face {sum(n for _, n in parts)}", "property list uchar int vertex_index"]
+        files += [f"{folder}/face/{k:06d}.staged" for k, _ in parts]
     if edge is not None:
-        head, more = _plain("edge", edge, order)
-        lines, body = lines + head, body + more
-    write_whole(path, ("\n".join([*lines, "end_header"]) + "\n").encode() + body)
+        head, more = _plain("edge", edge, order, types, folder)
+        lines, files = lines + head, files + more
+    start = ("\n".join([*lines, "end_header"]) + "\n").encode()
+
+    def join(batches):
+        yield from batches
+        join_files(path, start, files)
+
+    spark.range(1).coalesce(1).mapInArrow(join, "id long").collect()
+    for f in files:
+        delete(f)
+    delete_folder(folder)

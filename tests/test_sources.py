@@ -160,3 +160,48 @@ def test_streams(spark, tmp_path):
     query = running.windowed_moments(stream, time="ts", value="pos", by=["key"], window="1 minute").writeStream.format("memory").queryName("m").outputMode("complete").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert spark.table("m").first()["n"] == 5
+
+
+def test_pcd_appends_overwrites_and_keeps_empty_tables(spark, tmp_path):
+    spark.dataSource.register(pcd.PcdSource)
+    path = str(tmp_path / "cloud")
+    rows = spark.range(8).select(F.col("id").cast("int").alias("i"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v")).repartition(3)
+    read = lambda: spark.read.format("pcd").load(path)
+    for n in (1, 2):
+        rows.write.format("pcd").mode("append").save(path)
+        assert read().count() == 8 * n
+    rows.where("i < 3").write.format("pcd").mode("overwrite").save(path)
+    assert sorted((r["i"], r["v"]) for r in read().collect()) == [(i, [1.0, float(i)]) for i in range(3)]
+    bad = rows.where("i < 5").withColumn("i", F.when(F.col("i") == 4, F.raise_error(F.lit("stop"))).otherwise(F.col("i")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        bad.write.format("pcd").mode("overwrite").save(path)
+    assert read().count() == 3  # a failed job leaves what was there
+    rows.where("i < 0").write.format("pcd").mode("append").save(path)
+    assert read().count() == 3
+    rows.select("i").where("i < 0").write.format("pcd").mode("overwrite").save(path)
+    assert read().count() == 0 and read().columns == ["i"]
+
+
+def test_ply_unsigned_types(spark, tmp_path):
+    spark.dataSource.register(ply.PlySource)
+    path = str(tmp_path / "c.ply")
+    df = spark.createDataFrame([(2, 255, 65_535, 4_294_967_295), (1, 0, 1, 2)], "o int, a int, b int, c long").repartition(2)
+    ply.write_ply(path, df, types={"a": "uchar", "b": "ushort", "c": "uint"}, order="o")
+    assert [tuple(r) for r in spark.read.format("ply").load(path).collect()] == [(0, 1, 2), (255, 65_535, 4_294_967_295)]
+    assert b"property uchar a\nproperty ushort b\nproperty uint c" in (tmp_path / "c.ply").read_bytes()
+    assert [p.name for p in tmp_path.iterdir() if "parts" in p.name or "tmp" in p.name] == []
+    with pytest.raises(Exception, match="no uchar"):
+        ply.write_ply(path, df.select((F.col("a") + 1).alias("a")), types={"a": "uchar"})
+
+
+def test_repository_writers_wait_for_each_other(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from terravox.sources import repository
+
+    root = f"file://{tmp_path}/repo"
+    repository.Repository(spark, root)
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: repository.Repository(spark, root).add_item(f"t{k}", spark.range(k)), range(6)))
+    repo = repository.Repository(spark, root)
+    assert repo.catalog().count() == 6 and sorted(p.name for p in (tmp_path / "repo").iterdir() if "metadata" in p.name and not p.name.startswith(".")) == ["metadata.json"]
