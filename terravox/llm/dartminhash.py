@@ -49,6 +49,8 @@ BANDS, ROWS = 36, 6
 #: Coordinates of a signature: the first go into bands, all into the sketch.
 COORDINATES = 432
 ELEMENTS_AT_ONCE = 400_000
+#: Members of a band that one share holds, about.
+SHARE_ROWS = 1000
 #: Rounds in which a band has one leader.
 SINGLE_ROUNDS = 3
 
@@ -187,9 +189,11 @@ def content(text: str = "text"):
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
-def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
+def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", sketch: bool = True) -> DataFrame:
     """(content, class) for each distinct text; class is the smallest content number in it.
 
+    ``sketch=False`` checks every candidate pair exactly, without the comparison of sketches before.
+
     Columns: content string (md5 of the text), node long, class long, first_key (smallest key with that text,
     null only if all are), copies of that key and text.
     """
@@ -243,12 +247,15 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     bodies, turn = None, 0
     while True:
         known = members.join(labels, "node")
-        mixed = known.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
-        members = scratch.write(known.join(mixed, "band").select("band", "node", "class"), "members")
+        mixed = known.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+        # a large band is split into shares by a hash of the member; its heads go to every share
+        shares = F.ceil(F.col("size") / SHARE_ROWS).cast("int")
+        members = known.join(mixed, "band").select("band", "node", "class", shares.alias("shares"))
+        members = scratch.write(members.withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")), "members")
         if members.isEmpty():
             break
         full = members.join(drawn, "node")
-        named = [F.col("node").alias("head"), F.col("class").alias("head_class"), F.col("sketch").alias("head_sketch"), F.col("bands").alias("head_bands")]
+        named = [F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("node").alias("head"), F.col("class").alias("head_class"), F.col("sketch").alias("head_sketch"), F.col("bands").alias("head_bands")]
         if turn < SINGLE_ROUNDS:
             top = members.join(company, "node").groupBy("band").agg(F.max(F.struct("company", "node")).alias("top"))
             heads = top.select("band", F.col("top.node").alias("node")).join(full, ["band", "node"]).select("band", *named)
@@ -257,9 +264,9 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
             largest = counts.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top")).select("band", F.col("top.class").alias("largest"))
             heads = full.join(largest, "band").where("class <> largest").select("band", *named)
         heads = scratch.write(heads, "heads")
-        near = unlike(F.col("sketch"), F.col("head_sketch"), -(-k // 16)) <= most_unlike(k, similarity)
+        near = unlike(F.col("sketch"), F.col("head_sketch"), -(-k // 16)) <= (most_unlike(k, similarity) if sketch else k)
         once_only = first_shared(F.col("bands"), F.col("head_bands"), bands) == F.col("band")
-        pairs = full.join(heads, "band").where(F.expr("node <> head and class <> head_class") & once_only & near)
+        pairs = full.join(heads, ["band", "share"]).where(F.expr("node <> head and class <> head_class") & once_only & near)
         pairs = scratch.write(pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
         if not pairs.isEmpty():
             if bodies is None:
@@ -274,7 +281,7 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
             labels = scratch.write(relabelled.select("node", F.coalesce("component", "class").alias("class")), "labels")
         if turn == SINGLE_ROUNDS:
             break
-        members = members.select("band", "node").join(heads.select("band", F.col("head").alias("node")), ["band", "node"], "left_anti")
+        members = members.select("band", "node").join(heads.where("share = 0").select("band", F.col("head").alias("node")), ["band", "node"], "left_anti")
         turn += 1
     out = nodes.join(labels, "node", "left").select("content", "node", F.coalesce("class", "node").alias("class"), "first_key", "copies")
     out = written(out, "classes")

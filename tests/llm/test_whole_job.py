@@ -92,3 +92,18 @@ def test_clashing_columns_stay_as_they_are(spark):
     assert dartminhash.keep_one(docs).count() == 16
     for table in (mixing.mix_table(docs), dartminhash.class_table(docs), quality.quality_table(docs), backoff.backoff_scores(docs)):
         assert table.count() == len(rows)
+
+
+def test_large_bands_are_split(spark, monkeypatch):
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for i in draw.sample(range(100), 2):
+            own[i] = f"x{draw.random()}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, dartminhash.class_table(docs).collect()))
+    monkeypatch.setattr(dartminhash, "SHARE_ROWS", 7)
+    assert sorted(map(tuple, dartminhash.class_table(docs, sketch=False).collect())) == want
