@@ -150,7 +150,9 @@ def build_trees(df: DataFrame, tokenizer: str, *, conv: str = "conv_id", turn: s
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, stack, end, token_end = TaskContext.get().partitionId(), [], 0, 0
-        coder = library(tokenizer)
+        coder, heads = library(tokenizer), {}
+        encode = lambda text: coder.encode(text, add_special_tokens=False).ids
+        close = encode(CLOSE)
         for at in batches:
             out = []
             for c, n, r, t, path in zip(at.conv_id, at.ordinal, at.role, at.text, at.path):
@@ -158,7 +160,11 @@ def build_trees(df: DataFrame, tokenizer: str, *, conv: str = "conv_id", turn: s
                 if not shared:  # not emitted by a conversation before
                     del stack[n:]
                     formatted, head = format_turn(r, t)
-                    coded = [e.ids for e in coder.encode_batch_fast([formatted[:head], formatted[head : -len(CLOSE)], CLOSE], add_special_tokens=False)]
+                    if (start := formatted[:head]) not in heads:
+                        if len(heads) > 1000:
+                            heads.clear()
+                        heads[start] = encode(start)
+                    coded = [heads[start], encode(formatted[head : -len(CLOSE)]), close]
                     ids = [i for part_ids in coded for i in part_ids]
                     above = stack[-1] if stack else (None, None, None)
                     chars = placed(above[1], end, (head, len(formatted) - head - len(CLOSE), len(CLOSE)))
