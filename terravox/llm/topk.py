@@ -38,7 +38,7 @@ DIM_BLOCK = 16
 CANDIDATES, QUERIES = 4096, 512
 BLOCK_CELLS = 1 << 19
 #: Candidate blocks of a shard, about.
-SHARD_BLOCKS = 16
+SHARD_BLOCKS = 4
 EXACT = 2**53
 
 
@@ -155,7 +155,7 @@ def top_k(df: DataFrame, is_query: Column, *, k: int = K, key: str = "vec_id", v
                         yield pd.DataFrame(search.result(), columns=["query_id", "vec_id", "score"])
                     now, search = (u.shard, u.q_block), Search(*unpacked(u.q_ids, u.q_data, u.dim), k)
                 if u.c_block not in blocks:
-                    if len(blocks) >= 2 * SHARD_BLOCKS:
+                    if len(blocks) >= 8 * SHARD_BLOCKS:
                         blocks.clear()
                     blocks[u.c_block] = Block(*unpacked(u.ids, u.data, u.dim))
                 search.take(blocks[u.c_block])
