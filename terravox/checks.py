@@ -43,3 +43,8 @@ def matrix_of(value: Column, rows: int, columns: int) -> Column:
 def rigid(rotation: Column, translation: Column) -> tuple[Column, Column]:
     """A 3 x 3 rotation and a vector of 3, or an error."""
     return matrix_of(rotation, 3, 3), vector_of(translation, 3)
+
+
+def one_machine(spark) -> bool:
+    """Whether driver and executors share a machine, so that a local folder is seen by all."""
+    return spark.conf.get("spark.master", "").split("[")[0] == "local"

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checks import one_machine, require
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,7 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder; on one machine without that setting, in the temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    require(base or one_machine(spark), "spark.checkpoint.dir must name a folder that all executors share")
+    base = base or "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/terravox-{name}-{uuid.uuid4().hex}"
 
 

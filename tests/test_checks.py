@@ -6,6 +6,21 @@ from pyspark.sql import functions as F
 from terravox import checks
 from terravox.functions import scalar as S
 from terravox.operators import sparse
+from terravox.queries import common
+
+
+class Session:
+    def __init__(self, **conf):
+        self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+
+def test_local_folders_are_for_one_machine():
+    shared = {"spark_checkpoint_dir": "hdfs://shared/"}
+    assert common.scratch(Session(spark_master="local[4]"), "t").startswith("file:///")
+    assert common.scratch(Session(spark_master="yarn", **shared), "t").startswith("hdfs://shared/terravox-t-")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            common.scratch(Session(spark_master=master), "t")
 
 
 def test_shapes(spark):
