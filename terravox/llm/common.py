@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..checks import one_machine
+
 #: A word: a run of characters that are neither space nor one of tab .. carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
@@ -46,14 +48,16 @@ def fresh(df: DataFrame, name: str) -> str:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which all executors and the driver share.
 
-    Where that setting is missing (tests on one machine) the session's checkpoint folder is set once
-    to a temporary one.
+    Where that setting is missing, the session's checkpoint folder is used; on one machine (tests) a temporary one is
+    set once, and on a cluster, where nobody else would see it, a missing folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             base = set_dir.get()
+        elif not one_machine(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="terravox-")
             spark.sparkContext.setCheckpointDir(base)

@@ -1,6 +1,8 @@
 import os
+from types import SimpleNamespace
 
 import pyarrow as pa
+import pytest
 
 from terravox.llm import common
 
@@ -46,3 +48,14 @@ def test_files_appear_whole(tmp_path):
     common.write_bytes(f"file://{tmp_path}/d/x", b"34")
     assert os.listdir(tmp_path / "d") == ["x"] and (tmp_path / "d" / "x").read_bytes() == b"34"
     assert common.local_path("hdfs://host/x") is None
+
+
+def test_no_local_folder_on_a_cluster():
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)), setCheckpointDir=lambda path: None)
+    session = lambda **conf: SimpleNamespace(conf={k.replace("_", "."): v for k, v in conf.items()}, sparkContext=context)
+    assert common.shared_dir(session(spark_master="local[2]"), "t").startswith("file:///")
+    assert common.shared_dir(session(spark_master="yarn", spark_checkpoint_dir="hdfs://shared"), "t").startswith("hdfs://shared/t-")
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(spark_master=master), "t")
