@@ -70,18 +70,35 @@ def box_corners(boxes: DataFrame, *, box: str = "box", sizes: tuple[str, str, st
 
 
 def box_lines(corners: DataFrame, *, box: str = "box", eps: float = 0.005) -> DataFrame:
-    """(box, part, x, y, z): points on the edges of boxes given by their corners (box, vertex, x, y, z)."""
-    spark = corners.sparkSession
-    out = []
-    for part, face in enumerate((FACE_A, FACE_B)):
-        turn = literal_rows(spark, [(v, n) for n, v in enumerate(face)], "vertex int, turn int")
-        ring = corners.join(F.broadcast(turn), "vertex")
-        out.append(polygon(ring, by=box, order="turn", eps=eps).select(box, F.lit(part).alias("part"), "x", "y", "z"))
-    struts = literal_rows(spark, list(zip(FACE_A, FACE_B)), "vertex int, other int")
-    a = corners.join(F.broadcast(struts), "vertex").select(box, "vertex", "other", *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    b = corners.select(box, F.col("vertex").alias("other"), *[F.col(c).alias(f"d{c}") for c in "xyz"])
-    out.append(lines(a.join(b, [box, "other"]), keys=[box], start=False, end=False, eps=eps).select(box, F.lit(2).alias("part"), "x", "y", "z"))
-    return reduce(DataFrame.union, out)
+    """(box, part, x, y, z): points on the edges of boxes given by their corners (box, vertex, x, y, z).
+
+    A box's corners are gathered by one exchange and its edges made from them in place: nothing is joined, so no table
+    that grows with the boxes is broadcast.  Rings go through the corners that are there; struts need both of theirs.
+    """
+    boxes = corners.groupBy(box).agg(F.array_sort(F.collect_list(F.struct("vertex", "x", "y", "z"))).alias("__c"))
+    edges = [_ring(part, face) for part, face in enumerate((FACE_A, FACE_B))] + [_strut(v, other) for v, other in zip(FACE_A, FACE_B)]
+    every = boxes.select(box, F.explode(F.concat(*edges)).alias("e")).select(box, "e.*")
+    out = lines(every, keys=[box, "part"], end=False, eps=eps)
+    return out.where((F.col("part") < 2) | (F.col("step") > 0)).select(box, "part", "x", "y", "z")  # struts lack both ends
+
+
+def _at_vertex(v: int) -> Column:
+    return F.filter("__c", lambda c: c["vertex"] == v)
+
+
+def _edge(part: int, a: Column, b: Column) -> Column:
+    return F.struct(F.lit(part).alias("part"), *[a[c].alias(f"s{c}") for c in "xyz"], *[b[c].alias(f"d{c}") for c in "xyz"])
+
+
+def _ring(part: int, face: tuple[int, ...]) -> Column:
+    """Edges from each corner to the next, from the last to the first."""
+    corners = F.flatten(F.array(*[_at_vertex(v) for v in face]))
+    following = F.concat(F.slice(corners, 2, F.greatest(F.size(corners), F.lit(1))), F.slice(corners, 1, 1))
+    return F.zip_with(corners, following, lambda a, b: _edge(part, a, b))
+
+
+def _strut(v: int, other: int) -> Column:
+    return F.flatten(F.transform(_at_vertex(v), lambda a: F.transform(_at_vertex(other), lambda b: _edge(2, a, b))))
 
 
 def stack_clouds(clouds: list[tuple[DataFrame, list[str]]], *, scale: tuple[float, float] = (0, 100), color_map=None) -> DataFrame:

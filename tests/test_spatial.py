@@ -289,3 +289,21 @@ def test_voxel_order_equals_a_sort(spark):
     rows = [(i, draw.randint(-3, 3) + 0.5, draw.randint(-2, 2) + 0.5, draw.randint(-2, 2) + 0.5) for i in range(200)]
     got = {r["idx"]: r["position"] for r in voxels.voxel_order(spark.createDataFrame(rows, "idx long, x double, y double, z double"), 1.0).collect()}
     assert [got[i] for i, *_ in sorted(rows, key=lambda r: (r[1:], r[0]))] == list(range(200))
+
+
+def test_box_lines_broadcast_nothing(spark):
+    """The corners look small in the planner's figures, which an explode does not change, and grow with the boxes."""
+    boxes = spark.range(3).select(F.col("id").alias("box"), *[F.lit(float(n)).alias(c) for n, c in enumerate(("lx", "ly", "lz"), 1)])
+    made = generators.box_lines(generators.box_corners(boxes), eps=0.25)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange") <= 1
+    assert rows(made.where("box = 1").groupBy("part").count(), "part") == [(0, 32), (1, 32), (2, 28)]
+    ring = {(r["x"], r["y"], r["z"]) for r in made.where("box = 1 AND part = 0").collect()}
+    assert len(ring) == 32 and all(y == 1.0 and (abs(x) == 0.5 or abs(z) == 1.5) for x, y, z in ring)
+
+
+def test_box_lines_of_boxes_without_a_corner(spark):
+    box = spark.range(1).select(F.col("id").alias("box"), *[F.lit(1.0).alias(c) for c in ("lx", "ly", "lz")])
+    made = generators.box_lines(generators.box_corners(box).where("vertex <> 0"), eps=0.25)
+    # a ring of corners 1, 5, 4 (two sides and a diagonal of floor(1.41 / 0.25) steps), a whole ring, and three struts
+    assert rows(made.groupBy("part").count(), "part") == [(0, 4 + 4 + 5), (1, 16), (2, 9)]
