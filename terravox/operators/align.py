@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks import positive, require
 from ..functions import geometry as G
-from ..plans.physical import cell_join, literal_rows
+from ..plans.physical import cell_join, halving_cell_join, halvings, literal_rows
 
 SRC, DST = ("sx", "sy", "sz"), ("dx", "dy", "dz")
 
@@ -107,23 +109,31 @@ def _fit(rows: list[list[float]], with_scale: bool) -> Similarity:
     return solve(m | dict(zip((*SRC, *DST), at.mean(axis=0))), with_scale)
 
 
-def nearest_neighbors(src: DataFrame, dst: DataFrame, *, radius: float = math.inf, src_id: str = "i", dst_id: str = "j", xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+def _finite(df: DataFrame, xyz: tuple[str, str, str]) -> DataFrame:
+    inside = F.lit(True)
+    for c in xyz:
+        inside &= F.coalesce(F.abs(F.col(c)) < math.inf, F.lit(False))  # NaN is larger than infinity
+    return df.where(inside)
+
+
+def crowding(dst: DataFrame, radius: float, *, xyz: tuple[str, str, str] = ("x", "y", "z")) -> int:
+    """How often cells of size ``radius`` are to be halved until a place shares its cell with few others: one pass."""
+    return halvings(_finite(dst, xyz), radius=radius, xyz=xyz)
+
+
+def nearest_neighbors(src: DataFrame, dst: DataFrame, *, radius: float = math.inf, src_id: str = "i", dst_id: str = "j", xyz: tuple[str, str, str] = ("x", "y", "z"), levels: int | None = None) -> DataFrame:
     """(i, j, d2): the nearest destination of each source within ``radius``, ties to the smallest j; sources without
     one are left out.  Rows with a null, NaN or infinite coordinate take no part.
 
-    A finite radius is an equi-join on cells.  Without one, cells grow from the mean spacing, doubling for the
+    A finite radius is an equi-join on cells, halved ``levels`` times where destinations are crowded (if not given,
+    as often as ``crowding`` finds).  Without one, cells grow from the mean spacing, doubling for the
     sources that have found nothing yet, until all have; a small destination table is compared in full.
     """
-    def finite(df: DataFrame) -> DataFrame:
-        inside = F.lit(True)
-        for c in xyz:
-            inside &= F.coalesce(F.abs(F.col(c)) < math.inf, F.lit(False))  # NaN is larger than infinity
-        return df.where(inside)
-
-    src, dst = finite(src), finite(dst)
+    src, dst = _finite(src, xyz), _finite(dst, xyz)
     best = lambda pairs: pairs.groupBy(src_id).agg(F.min(F.struct("d2", dst_id)).alias("b")).select(src_id, F.col(f"b.{dst_id}").alias(dst_id), F.col("b.d2").alias("d2"))
     if math.isfinite(radius):
-        return best(cell_join(src, dst, radius=radius, xyz=xyz, src_id=src_id, dst_id=dst_id))
+        levels = crowding(dst, radius, xyz=xyz) if levels is None else levels
+        return best(halving_cell_join(src, dst, radius=radius, levels=levels, xyz=xyz, src_id=src_id, dst_id=dst_id))
     s = src.select(src_id, *[F.col(c).alias(f"__s{k}") for k, c in enumerate(xyz)])
     d = dst.select(dst_id, *[F.col(c).alias(f"__d{k}") for k, c in enumerate(xyz)])
     if dst.limit(ALL_PAIRS_ROWS + 1).count() <= ALL_PAIRS_ROWS:
@@ -155,6 +165,18 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile leaves no shuffle files: rounds would heap them up until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @dataclass(frozen=True)
 class Alignment:
     rotation: np.ndarray
@@ -174,19 +196,21 @@ def iterative_closest_point(src: DataFrame, dst: DataFrame, *, initial: np.ndarr
     hardly changes.
 
     Each round is one neighbour join and one aggregate.  The pose is a constant in the plan, so the plan does not
-    grow with the rounds.
+    grow with the rounds.  How crowded the destinations are is found once, as they stay where they are.
     """
     pose = np.eye(4) if initial is None else np.asarray(initial, float)
     rotation, translation = pose[:3, :3].copy(), pose[:3, 3].copy()
     last, means, matches, n = math.inf, [], None, 0
     target = dst.select(dst_id, *[F.col(c).alias(d) for c, d in zip(xyz, DST)])
+    levels = crowding(dst, max_distance, xyz=xyz) if math.isfinite(max_distance) else None
     for n in range(1, max_iterations + 1):
         here = Similarity(1.0, rotation, translation)
         moved = here.apply([F.col(c) for c in xyz])
         now = src.select(src_id, *[m.alias(c) for m, c in zip(moved, xyz)])
-        matches = nearest_neighbors(now, dst, radius=max_distance, src_id=src_id, dst_id=dst_id, xyz=xyz)
+        matches = nearest_neighbors(now, dst, radius=max_distance, src_id=src_id, dst_id=dst_id, xyz=xyz, levels=levels)
         pairs = matches.join(now.select(src_id, *[F.col(c).alias(s) for c, s in zip(xyz, SRC)]), src_id).join(target, dst_id)
-        m = moments(pairs, F.avg(F.sqrt("d2")).alias("distance"))
+        with _shuffles_dropped(src.sparkSession):
+            m = moments(pairs, F.avg(F.sqrt("d2")).alias("distance"))
         if m["n"] < 3:
             break
         means.append(m["distance"])

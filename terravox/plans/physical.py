@@ -102,6 +102,60 @@ def cell_join(src: DataFrame, dst: DataFrame, *, radius: float, xyz: tuple[str,
     return pairs.where(F.col("d2") <= radius * radius)
 
 
+#: Cells are halved until a place shares its own with this many on average, itself included, at most so often.
+CROWD, MOST_HALVINGS = 4, 24
+
+
+def halvings(dst: DataFrame, *, radius: float, xyz: tuple[str, str, str] = ("x", "y", "z")) -> int:
+    """How often cells of size ``radius`` have to be halved to hold few different places each."""
+    positive("radius", radius)
+    places = dst.select(*[F.col(c).alias(f"__p{a}") for a, c in enumerate(xyz)]).distinct()
+    cells = _in_cells(places, radius, MOST_HALVINGS).groupBy("__k", "__cell").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    crowd = {r["__k"]: r["crowd"] for r in cells.groupBy("__k").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("crowd")).collect()}
+    return min((k for k, n in crowd.items() if n <= CROWD), default=MOST_HALVINGS if crowd else 0)
+
+
+def _size(radius: float, levels: int) -> Column:
+    return F.get(F.array(*[F.lit(radius / 2**k) for k in range(levels + 1)]), F.col("__k"))
+
+
+def _in_cells(df: DataFrame, radius: float, levels: int) -> DataFrame:
+    """Each row once a level, with its cell there as ``__cell``: a hash, so seldom are two cells taken for one."""
+    every = df.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    return every.withColumn("__cell", F.xxhash64("__k", *[F.floor(F.col(f"__p{a}") / _size(radius, levels)) for a in range(3)]))
+
+
+def halving_cell_join(src: DataFrame, dst: DataFrame, *, radius: float, levels: int, xyz: tuple[str, str, str] = ("x", "y", "z"), src_id: str = "i", dst_id: str = "j") -> DataFrame:
+    """(src_id, dst_id, d2) of pairs within ``radius``, the nearest pairs of each source among them: of destinations at
+    the same place only the smallest, and none beyond what a source is known to have.
+
+    Cells have size ``radius`` and its halves.  A source first meets one destination of each cell it lies in; within the
+    distance to the nearest of these it then looks through the cells of the smallest size not below twice that distance,
+    eight at most (27 of the largest size).  So what a source is compared with follows how dense destinations are around
+    it, not the radius; only where many sources lie far from a dense clump do all of them meet all of it.  Cells that
+    share a hash are looked through together, which changes no distance.
+    """
+    positive("radius", radius)
+    squares = [(F.col(f"__s{a}") - F.col(f"__p{a}")) * (F.col(f"__s{a}") - F.col(f"__p{a}")) for a in range(3)]
+    d2 = squares[0] + squares[1] + squares[2]
+    places = dst.groupBy(*[F.col(c).alias(f"__p{a}") for a, c in enumerate(xyz)]).agg(F.min(dst_id).alias("__j"))
+    cells = _in_cells(places, radius, levels).drop("__k")
+    one = cells.groupBy("__cell").agg(F.min(F.struct("__j", "__p0", "__p1", "__p2")).alias("__one")).select("__cell", "__one.*")
+
+    s = src.select(F.col(src_id).alias("__i"), *[F.col(c).alias(f"__p{a}") for a, c in enumerate(xyz)])
+    own = _in_cells(s, radius, levels).drop("__k").withColumnsRenamed({f"__p{a}": f"__s{a}" for a in range(3)})
+    met = own.join(one, "__cell", "left").groupBy("__i", "__s0", "__s1", "__s2").agg(F.min(d2).alias("__met"))
+    ball = met.withColumn("__limit", F.least("__met", F.lit(radius * radius)))  # passes over null
+    ball = ball.withColumn("__u", F.sqrt("__limit") * (1 + 1e-9) + 1e-150)  # for rounding
+    ball = ball.withColumn("__k", sum(((2 * F.col("__u") <= radius / 2**k).cast("int") for k in range(1, levels + 1)), F.lit(0)))
+    for a in range(3):
+        first, last = (F.floor((F.col(f"__s{a}") + way * F.col("__u")) / _size(radius, levels)) for way in (-1, 1))
+        ball = ball.withColumn(f"__c{a}", F.explode(F.sequence(first, last)))
+    ball = ball.select("__i", "__s0", "__s1", "__s2", "__limit", F.xxhash64("__k", "__c0", "__c1", "__c2").alias("__cell"))
+    pairs = ball.join(cells, "__cell").withColumn("d2", d2).where(F.col("d2") <= F.col("__limit"))
+    return pairs.select(F.col("__i").alias(src_id), F.col("__j").alias(dst_id), "d2")
+
+
 def dense_grid(spark: SparkSession, height: int, width: int) -> DataFrame:
     """(row, col) of every pixel."""
     n = spark.range(height * width)

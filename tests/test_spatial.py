@@ -307,3 +307,65 @@ def test_box_lines_of_boxes_without_a_corner(spark):
     made = generators.box_lines(generators.box_corners(box).where("vertex <> 0"), eps=0.25)
     # a ring of corners 1, 5, 4 (two sides and a diagonal of floor(1.41 / 0.25) steps), a whole ring, and three struts
     assert rows(made.groupBy("part").count(), "part") == [(0, 4 + 4 + 5), (1, 16), (2, 9)]
+
+
+def _cloud(spark, at, name):
+    return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], f"{name} long, x double, y double, z double")
+
+
+def _joined_rows(df):
+    """Rows that the joins of a query make, once it has run."""
+    df.collect()
+    todo, rows_out = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if "Join" in kind:
+            rows_out += node.metrics().get("numOutputRows").get().value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows_out
+
+
+def test_neighbors_in_a_wide_radius_cost_what_near_ones_do(spark):
+    n = 2000
+    at = np.random.default_rng(6).normal(0, 0.12, (n, 3))
+    got = align.nearest_neighbors(_cloud(spark, at + 0.004, "i"), _cloud(spark, at, "j"), radius=0.3)
+    assert _joined_rows(got) < 30 * n  # of n * n pairs some 1.2 million are within the radius
+    copies = align.nearest_neighbors(_cloud(spark, at[:300], "i"), _cloud(spark, np.repeat(at[:2], 500, axis=0), "j"), radius=2.0)
+    assert _joined_rows(copies) < 30 * 300
+    assert {r["j"] for r in copies.collect()} == {0, 500}
+
+
+@pytest.mark.parametrize("levels", [None, 0, 7])
+def test_neighbors_within_a_radius_equal_brute_force(spark, levels):
+    draw = np.random.default_rng(7)
+    tight = draw.normal(0, 1e-6, (60, 3))
+    cases = [
+        (draw.integers(-4, 5, (80, 3)) / 2, draw.integers(-4, 5, (200, 3)) * 1.0, 1.5),  # many ties, and cells' borders
+        (np.r_[tight, draw.normal(0, 1, (20, 3))], np.r_[tight + [0.01, 0, 0], draw.normal(0, 1, (40, 3)), [[1e9, 0, 0]]], 0.5),
+        (draw.normal(0, 1, (30, 3)) + [3, 0, 0], draw.normal(0, 1, (300, 3)), 2.0),  # mostly outside
+        (1e8 + draw.integers(0, 30, (50, 3)) / 8, 1e8 + draw.integers(0, 30, (200, 3)) / 8, 3.0),
+        (np.zeros((2, 3)), np.array([[0.5, 0, 0], [-0.5, 0, 0], [0, 0.5, 0]]), 0.5),  # just within
+    ]
+    for s, d, radius in cases:
+        want = {}
+        for i, p in enumerate(s):
+            d2 = ((p - d) ** 2) @ np.ones(3)
+            if d2.min() <= radius * radius:
+                want[i] = int(d2.argmin())
+        got = align.nearest_neighbors(_cloud(spark, s, "i"), _cloud(spark, d, "j"), radius=radius, levels=levels).collect()
+        assert {r["i"]: r["j"] for r in got} == want and len(got) == len(want)
+
+
+def test_closest_point_rounds_leave_settings_alone(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    at = np.random.default_rng(8).normal(0, 0.12, (300, 3))
+    found = align.iterative_closest_point(_cloud(spark, at, "i"), _cloud(spark, at + [0.01, 0, -0.01], "j"), max_distance=0.3)
+    assert np.allclose(found.translation, [0.01, 0, -0.01], atol=1e-6) and np.allclose(found.rotation, np.eye(3), atol=1e-6)
+    assert found.matches.where("i = j").count() == 300
+    assert spark.conf.get(key, None) == before
