@@ -144,6 +144,8 @@ def halving_cell_join(src: DataFrame, dst: DataFrame, *, radius: float, levels:
 
     s = src.select(F.col(src_id).alias("__i"), *[F.col(c).alias(f"__p{a}") for a, c in enumerate(xyz)])
     own = _in_cells(s, radius, levels).drop("__k").withColumnsRenamed({f"__p{a}": f"__s{a}" for a in range(3)})
+    # many sources may lie in one of the largest cells: as both sides are shuffled for this join, Spark can split it
+    own, one = (side.withColumn("__cell", F.xxhash64("__cell")) for side in (own, one))
     met = own.join(one, "__cell", "left").groupBy("__i", "__s0", "__s1", "__s2").agg(F.min(d2).alias("__met"))
     ball = met.withColumn("__limit", F.least("__met", F.lit(radius * radius)))  # passes over null
     ball = ball.withColumn("__u", F.sqrt("__limit") * (1 + 1e-9) + 1e-150)  # for rounding
