@@ -16,34 +16,37 @@ from terravox.llm.queries import TOKENIZER
 #: documents, with that language left out of learning, 96 to 98 of 100 are.
 LEAST_LANGUAGE_SCORE = 0.22
 
+#: Of an Arrow batch: less than the operators' own bound, since an executor's heap has grown by the later stages.
+BATCH_BYTES = 4 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or unlike every language, go."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return langid.filter_language(docs, langid.learn(docs), least=LEAST_LANGUAGE_SCORE)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Short and repetitive documents go."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return quality.filter_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return dartminhash.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of sources over their target go; those of sources under it may come twice."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return mixing.mix_rows(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: its ids, their number, and hashes of ids and text."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return bpe.round_trip(docs, TOKENIZER, with_ids=True)
 
 

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, slices
+from .common import give_back, held, slices
 from .pieces import PieceCoder, splittable
 
 
@@ -35,8 +35,9 @@ from .pieces import PieceCoder, splittable
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-MEMO_ENTRIES = 400_000
-BATCH_ROWS, BATCH_BYTES = 4000, 5 << 20
+#: What bounds a worker's memory, with ``give_back``.
+MEMO_ENTRIES = 200_000
+BATCH_ROWS, BATCH_BYTES = 4000, 2 << 20
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -170,6 +171,8 @@ def round_trip(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
             if with_ids:
                 columns["ids"] = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_pydict(columns)
+            del ids, coded, columns
+            give_back()
 
     rows = with_columns_safe(df, text, key)
     kind = rows.schema["doc_id"].dataType.simpleString()

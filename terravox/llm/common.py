@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -9,6 +10,7 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
@@ -112,6 +114,16 @@ def held(name, make=None):
     return _HELD.get(name)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system, which allocators otherwise keep for later."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batches, rows: int, column: int | str, most: int = 8 << 20):
     """Arrow batches in pieces of so many rows and of so many bytes in a text column; a longer text comes alone."""
     for whole in batches:

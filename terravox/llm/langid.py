@@ -24,6 +24,7 @@ empty table an empty result.  Very long texts are taken whole, a piece at a time
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, slices
+from .common import give_back, held, slices
 
 DIMENSIONS = 512
 #: Rows of each label that teach, in expectation; all, if there are fewer.
@@ -160,7 +161,9 @@ def learn(df: DataFrame, *, key: str = "doc_id", text: str = "text", label: str
     large = {r["label"]: r["n"] for r in counts if r["n"] > sample_rows}
     if large:
         draw = F.pmod(F.xxhash64(F.col("key"), F.col("text"), F.lit(3)), F.lit(1 << 30))
-        limits = rows.sparkSession.createDataFrame([(k, int(sample_rows / n * (1 << 30))) for k, n in large.items()], "label string, below long")
+        # one literal: a local table would start Python workers of another kind, which stay for a while
+        limits = json.dumps([{"label": k, "below": int(sample_rows / n * (1 << 30))} for k, n in large.items()])
+        limits = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(limits), "array<struct<label:string,below:long>>")))
         rows = rows.join(F.broadcast(limits), "label", "left").where(F.col("below").isNull() | (draw < F.col("below"))).drop("below")
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,6 +172,8 @@ def learn(df: DataFrame, *, key: str = "doc_id", text: str = "text", label: str
             vectors = np.round(letters(dimensions).bundles(at.text.tolist()).astype(float) * 2**32).astype(np.int64)  # whole numbers: any order adds up to the same
             for lang in at.label.unique():
                 sums[lang] = sums.get(lang, 0) + vectors[(at.label == lang).values].sum(axis=0)
+            del vectors
+            give_back()
         for lang, v in sums.items():
             yield pd.DataFrame({"label": lang, "place": np.arange(dimensions), "value": v})
 
@@ -241,5 +246,6 @@ def filter_language(df: DataFrame, prototypes: dict[str, np.ndarray], *, text: s
         measure = likeness(prototypes)
         for at in slices(batches, 2000, place):
             yield at.filter(pa.array(measure(at.column(place).to_pylist()) >= least))
+            give_back()
 
     return df.mapInArrow(apply, df.schema)

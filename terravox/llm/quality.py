@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, held, slices
+from .common import WORD, give_back, held, slices
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -138,5 +138,6 @@ def filter_quality(df: DataFrame, *, text: str = "text") -> DataFrame:
         held("quality")
         for at in slices(batches, 2000, place):
             yield at.filter(pa.array([measure(t)[6] for t in at.column(place).to_pylist()], pa.bool_()))
+            give_back()
 
     return df.mapInArrow(apply, df.schema)
